@@ -28,7 +28,7 @@ WINDOW = 2048
 PART = 512
 END_ID = 1
 DOCUMENTS_PER_SHARD = 192
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 150_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
