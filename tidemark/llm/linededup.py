@@ -132,10 +132,10 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
 
 ORACLE_LINES = """
   lines as (
-    select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as at
+    select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
     from documents where text is not null),
   long_lines as (select * from lines where length(line) >= 20),
-  distinct_lines as (select line, min(doc_id * 1000000 + at) as first from long_lines group by line),
+  distinct_lines as (select line, min(doc_id * 1000000 + pos) as first from long_lines group by line),
   -- one edit lies in one half: the other half is equal at its end of the line
   near_lines as (
     select a.line, b.line as other, b.first as other_first
@@ -146,9 +146,9 @@ ORACLE_LINES = """
     where levenshtein(a.line, b.line) <= 1),
   near_of as (select line, min(other_first) as earliest, count(*) as links from near_lines group by line),
   judged as (
-    select l.doc_id, l.at, l.line, coalesce(n.links, 0) as links,
-      length(l.line) >= 20 and l.doc_id * 1000000 + l.at > d.first as exact,
-      length(l.line) >= 20 and l.doc_id * 1000000 + l.at = d.first and coalesce(n.earliest < d.first, false) as near
+    select l.doc_id, l.pos, l.line, coalesce(n.links, 0) as links,
+      length(l.line) >= 20 and l.doc_id * 1000000 + l.pos > d.first as exact,
+      length(l.line) >= 20 and l.doc_id * 1000000 + l.pos = d.first and coalesce(n.earliest < d.first, false) as near
     from lines l left join distinct_lines d on d.line = l.line left join near_of n on n.line = l.line)
 """
 
@@ -156,7 +156,7 @@ ORACLE_SQL = f"""
 with {ORACLE_LINES},
   by_doc as (
     select doc_id, count(*) as lines, count(*) filter (exact) as exact, count(*) filter (near) as near, sum(links) as links,
-      coalesce(string_agg(line, chr(10) order by at) filter (not exact and not near), '') as kept
+      coalesce(string_agg(line, chr(10) order by pos) filter (not exact and not near), '') as kept
     from judged group by doc_id)
 select d.doc_id, cast(coalesce(b.lines, 0) as integer) as lines, cast(coalesce(b.exact, 0) as integer) as exact,
   cast(coalesce(b.near, 0) as integer) as near, cast(coalesce(b.links, 0) as bigint) as links, md5(b.kept) as kept_md5

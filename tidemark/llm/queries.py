@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, linededup, neardup, packing, toxicity
+from tidemark.llm import language, linededup, mixing, neardup, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lines", "exact", "near", "links", F.md5("text").alias("kept_md5"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of(F.col("source")))
+    taken, _ = mixing.mix_sources(docs, mixing.WEIGHTS, mixing.BUDGET_SHARE)
+    return taken.drop("text_key")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "p_low_quality", "p_toxic", "p_toxic_low_quality", "rejected")
@@ -43,8 +49,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bagminhash, op6_language, op7_linededup, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op2_bagminhash, op6_language, op7_linededup, op8_mixing, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_linededup": linededup.ORACLE_SQL}
+    return {"op7_linededup": linededup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
