@@ -25,12 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.letters import batches, runs, span_hash
+from tidemark.llm.shared import saved
 from tidemark.llm.words import mix
 
 #: At most so many labelled documents are learned from, those with the least hash of their id.
-FIT_DOCUMENTS = 8000
+FIT_DOCUMENTS = 6000
 FEATURES = 400
+CANDIDATES = 2000
 FOLDS = 3
+ROUNDS = 120
+DECAY = 1e-5
 PREFIXES = (3, 4, 5, 6, 7)
 THRESHOLD = 0.5
 
@@ -102,20 +106,23 @@ def _fit_linear(doc: np.ndarray, key: np.ndarray, before: np.ndarray, y: np.ndar
     x[doc[column >= 0], column[column >= 0]] = ratio[best][column[column >= 0]]
     x[:, len(best) : -1] = before
     x[:, -1] = 1
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1], np.float32)
     w[: len(best)] = 0.1
     w[-1] = _log_odds(np.array(positive / n))
-    ahead, momentum, decay = w.copy(), 1.0, 1e-3
-    square = np.ones(x.shape[1])
-    for _ in range(20):  # the largest curvature, by power iteration
+    target, held = y.astype(np.float32), np.full(len(w), DECAY, np.float32)
+    held[-1] = 0
+    square = np.ones(len(w), np.float32)
+    for _ in range(30):  # the largest curvature, by power iteration
         square = x.T @ (x @ (square / np.linalg.norm(square)))
-    step = 1 / (np.linalg.norm(square) / (4 * n) + decay)
-    for _ in range(300):
-        slope = x.T @ (_sigmoid(x @ ahead) - y) / n + decay * np.r_[ahead[:-1], 0] / len(w)
+    step = np.float32(0.8 / (np.linalg.norm(square) / (4 * n) + DECAY))
+    ahead, momentum = w, 1.0
+    for _ in range(ROUNDS):
+        slope = x.T @ (_sigmoid(x @ ahead) - target) / np.float32(n) + held * ahead
         following = ahead - step * slope
         faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = following + (momentum - 1) / faster * (following - w)
+        ahead = following + np.float32((momentum - 1) / faster) * (following - w)
         w, momentum = following, faster
+    w = w.astype(float)
     return Linear(keys[best], w[: len(best)] * ratio[best], w[len(best) : -1], float(w[-1]))
 
 
@@ -155,22 +162,49 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], fit_d
     wanted = labels.select("doc_id", *(F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values()))).where("doc_id is not null")
     wanted = wanted.groupBy("doc_id").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))))
     wanted = wanted.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_documents)
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
-    columns = ["doc_id", *(f"y{i}" for i in range(len(names)))]
+    texts = saved(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]))
+    ys = [f"y{i}" for i in range(len(names))]
+    kept = texts.sparkSession.sparkContext.broadcast(_candidates(texts, ys))
 
     def extract(parts):
         for part in parts:
             for first, held in batches(part["text"].tolist()):
-                text, found = features(held)
+                text, found = features(held, kept.value)
                 ends = np.searchsorted(text, np.arange(len(held) + 1))
-                yield part.iloc[first : first + len(held)][columns].assign(found=[found[a:b].view(np.int64) for a, b in zip(ends[:-1], ends[1:])])
+                yield part.iloc[first : first + len(held)][["doc_id", *ys]].assign(found=[found[a:b].view(np.int64) for a, b in zip(ends[:-1], ends[1:])])
 
-    schema = ", ".join(["doc_id long", *(f"y{i} int" for i in range(len(names))), "found array<long>"])
+    schema = ", ".join(["doc_id long", *(f"{y} int" for y in ys), "found array<long>"])
     rows = texts.mapInPandas(extract, schema).toPandas().sort_values("doc_id", ignore_index=True)
     sizes = rows["found"].map(len).to_numpy() if len(rows) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(rows)), sizes)
     key = np.concatenate([np.zeros(0, np.int64), *rows["found"]]).astype(np.int64).view(np.uint64)
-    return fit_chain(doc, key, rows[columns[1:]].to_numpy())
+    return fit_chain(doc, key, rows[ys].to_numpy())
+
+
+def _candidates(texts: DataFrame, ys: list[str]) -> np.ndarray:
+    """The features that enter the choice of the models: for each category ``CANDIDATES`` that separate it best in all rows."""
+
+    def count(parts):
+        for part in parts:
+            for first, held in batches(part["text"].tolist()):
+                text, found = features(held)
+                keys, at = np.unique(found, return_inverse=True)
+                labels = part.iloc[first : first + len(held)][ys].to_numpy(float)
+                sums = {y: np.bincount(at, weights=labels[text, i], minlength=len(keys)).astype(np.int64) for i, y in enumerate(ys)}
+                yield pd.DataFrame({"feature": keys.view(np.int64), "n": np.bincount(at, minlength=len(keys)), **sums})
+
+    schema = ", ".join(["feature long", "n long", *(f"{y} long" for y in ys)])
+    counts = texts.mapInPandas(count, schema).groupBy("feature").agg(F.sum("n").alias("n"), *(F.sum(y).alias(y) for y in ys)).where("n >= 4")
+    counts = saved(counts)
+    totals = texts.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
+    chosen = []
+    for y in ys:
+        positive, n = totals[y] or 0, totals["n"]
+        with_, without = F.col(y) + 0.5, F.col("n") - F.col(y) + 0.5
+        ratio = F.log(with_ / (positive + 1)) - F.log(without / (n - positive + 1))
+        z = F.abs(ratio) / F.sqrt(1 / with_ + 1 / without)
+        chosen += [r.feature for r in counts.orderBy(z.desc(), "feature").select("feature").limit(CANDIDATES).collect()]
+    return np.unique(np.array(chosen, np.int64).view(np.uint64))
 
 
 def predict(docs: DataFrame, chain: list[Linear], names: list[str]) -> DataFrame:
