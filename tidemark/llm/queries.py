@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, linededup, mixing, neardup, packing, toxicity
+from tidemark.llm import html, language, license, linededup, media, mixing, neardup, neighbours, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,26 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.sniff_column(media.store_texts(_table(spark, sf_dir, "documents"))))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("spans"))
 
@@ -49,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bagminhash, op6_language, op7_linededup, op8_mixing, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_neighbours, op2_bagminhash, op3_html, op4_license, op5_media, op6_language, op7_linededup, op8_mixing, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
