@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import state
+from tidemark.plans import state, textual
 
-MODULES = (state,)
+MODULES = (state, textual)
 
 
 def queries() -> dict:
