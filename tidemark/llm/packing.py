@@ -27,8 +27,8 @@ WINDOW = 2048
 #: What doesn't fill a window is cut into parts of this length, which even out better.
 PART = 512
 END_ID = 1
-DOCUMENTS_PER_SHARD = 192
-CACHED_CHUNKS = 150_000
+DOCUMENTS_PER_SHARD = 128
+CACHED_CHUNKS = 250_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
