@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import state, textual
+from tidemark.plans import state, textual, wordings
 
-MODULES = (state, textual)
+MODULES = (state, textual, wordings)
 
 
 def queries() -> dict:
