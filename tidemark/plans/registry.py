@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import state, textual, wordings
+from tidemark.plans import library, state, textual, wordings
 
-MODULES = (state, textual, wordings)
+MODULES = (state, textual, wordings, library)
 
 
 def queries() -> dict:
