@@ -26,7 +26,7 @@ MAX_EDITS = 1
 MIN_CHARS = 20
 
 #: Letters whose counts are compared before a candidate is emitted.
-COUNTED = "enaitrso"
+COUNTED = "enai"
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -36,25 +36,22 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return (base * i + 1 + extra).cast("int"), (base + (F.lit(parts - i) <= longer).cast("int")).cast("int")
 
 
-def _index_keys(line: Column, length: Column, k: int) -> Column:
-    keys = []
-    for i in range(k + 1):
-        start, size = _segment(length, i, k + 1)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
-    return F.array(*keys)
-
-
-def _probe_keys(line: Column, length: Column, k: int) -> Column:
-    keys = []
+def _keys(line: Column, length: Column, k: int) -> tuple[Column, Column]:
+    """The keys of the line's own segments, and structs of all keys it probes for: its own (``own`` 1) and others."""
+    own, probes = [], []
     for shorter in range(k + 1):
         for i in range(k + 1):
             start, size = _segment(length - shorter, i, k + 1)
             left, right = i, k - i  # edits that can lie before the segment and after it
             for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
                 at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= length)
-                keys.append(F.when(fits, F.xxhash64(length - shorter, F.lit(i), F.substring(line, at, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+                key = F.xxhash64(length - shorter, F.lit(i), F.substring(line, at, size)).alias("key")
+                if shorter == shift == 0:
+                    own.append(key)
+                    probes.append(F.struct(key, F.lit(1).alias("own")))
+                else:
+                    probes.append(F.when((at >= 1) & (at + size - 1 <= length), F.struct(key, F.lit(0).alias("own"))))
+    return F.array(*own), F.array_compact(F.array(*probes))
 
 
 def _counts(line: Column) -> Column:
@@ -74,57 +71,80 @@ def _count_distance(a: Column, b: Column) -> Column:
     return total
 
 
-def edit_links(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b), a < b: the ids of all distinct lines within ``max_edits`` edits; ``lines`` has (id, line), ids and lines distinct."""
-    keyed = lines.select(F.xxhash64("line").alias("handle"), F.length("line").alias("length"), "line", _counts(F.col("line")).alias("counts"))
-    index = keyed.select("handle", "counts", F.explode(_index_keys(F.col("line"), F.col("length"), max_edits)).alias("key"))
-    probe = keyed.select(F.col("handle").alias("handle_b"), F.col("counts").alias("counts_b"), F.explode(_probe_keys(F.col("line"), F.col("length"), max_edits)).alias("key"))
-    near = (F.col("handle") != F.col("handle_b")) & (_count_distance(F.col("counts"), F.col("counts_b")) <= 2 * max_edits)
-    pairs = index.join(probe, "key").where(near).select(F.least("handle", "handle_b").alias("ha"), F.greatest("handle", "handle_b").alias("hb")).distinct()
-    # A handle may stand for two lines by accident: both are looked at.
-    side = lambda x: lines.select(F.xxhash64("line").alias(f"h{x}"), F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
-    verified = pairs.join(side("a"), "ha").join(side("b"), "hb").where(F.levenshtein("line_a", "line_b", max_edits) >= 0)
-    return verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def edit_candidates(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b), a < b: ids of distinct lines that may be within ``max_edits`` edits; ``lines`` has (id, line), ids distinct."""
+    own, probes = _keys(F.col("line"), F.length("line"), max_edits)
+    counts = _counts(F.col("line"))
+    index = lines.select("id", counts.alias("counts"), own.alias("keys")).select("id", "counts", F.explode("keys").alias("key"))
+    probe = lines.select("id", counts.alias("counts"), probes.alias("keys")).select("id", "counts", F.explode("keys").alias("x"))
+    probe = probe.select(F.col("id").alias("other"), F.col("counts").alias("counts_b"), "x.key", "x.own")
+    once = (F.col("own") == 0) | (F.col("id") < F.col("other"))  # own segments meet own ones of the same length from both sides
+    near = (F.col("id") != F.col("other")) & (_count_distance(F.col("counts"), F.col("counts_b")) <= 2 * max_edits)
+    return index.join(probe, "key").where(once & near).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+#: Stands for a null id.
+NO_ID = -(2**63)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key that is never null, so that every join below shuffles the documents in the same way, once."""
+    return docs.withColumn("key_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("key_t", F.coalesce(F.xxhash64("text"), F.lit(0)))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row per document with its lines in ``parts``, split once for all uses."""
+    return docs.withColumn("parts", F.explode(F.array(F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))))
 
 
 def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text_key and, per document with any, ``exact`` and ``near``: the line numbers (from 0) to drop, and ``links``."""
-    key = F.xxhash64("text").alias("text_key")
-    occurrences = (
-        docs.where("text is not null")
-        .select(F.col("doc_id").cast("long"), key, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .where(F.length("line") >= min_chars)
-        .withColumn("id", F.unhex(F.md5("line")))
-    )
-    place = F.struct("doc_id", "text_key", "at")
-    distinct = occurrences.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    links = edit_links(distinct.select("id", "line"), max_edits)
-    firsts = distinct.select("id", "first", "n")
-    both = links.union(links.select("b", "a")).toDF("id", "other")
-    other = firsts.select(F.col("id").alias("other"), F.col("first").alias("other_first"))
-    linked = both.join(other, "other").groupBy("id").agg(F.min("other_first").alias("earliest"), F.count("*").alias("links"))
+    """key_d, key_t and, per document with any, ``exact`` and ``near``: the line numbers (from 0) to drop, and ``links``."""
+    keyed = _keyed(docs).select("text", "key_d", "key_t")
+    occurrences = keyed.select("key_d", "key_t", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.length("line") >= min_chars)
+    occurrences = occurrences.select("key_d", "key_t", "at", F.unhex(F.md5("line")).alias("id"))
+    place = F.struct("key_d", "key_t", "at")
+    # Every use needs n because of the filter, so all uses have the same plan and share one exchange.
+    firsts = occurrences.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 0")
+
+    by_doc = firsts.groupBy(F.col("first.key_d").alias("key_d"), F.col("first.key_t").alias("key_t")).agg(F.collect_list(F.struct("id", F.col("first.at").alias("at"))).alias("own"))
+    own = _lines(keyed.join(by_doc, ["key_d", "key_t"])).select(F.explode(F.transform("own", lambda x: F.struct(x.id.alias("id"), F.get("parts", x.at).alias("line")))).alias("x"))
+    pairs = edit_candidates(own.select("x.id", "x.line"), max_edits)
+    for x in "ab":
+        pairs = pairs.join(firsts.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}"), F.col("first.key_d").alias(f"{x}_d"), F.col("first.key_t").alias(f"{x}_t")), x)
+    for x in "ab":
+        texts = keyed.withColumnsRenamed({"key_d": f"{x}_d", "key_t": f"{x}_t"})
+        pairs = _lines(pairs.join(texts, [f"{x}_d", f"{x}_t"])).withColumn(f"line_{x}", F.get("parts", F.col(f"first_{x}.at"))).drop("parts", "text")
+    links = pairs.where(F.levenshtein("line_a", "line_b", max_edits) >= 0)
+    way = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"first_{y}").alias("other"))
+    ends = links.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("end")).select("end.*")
+    linked = ends.groupBy("id").agg(F.min("other").alias("earliest"), F.count("*").alias("links"))
+
     judged = firsts.join(linked, "id", "left").withColumn("late", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)))
     matter = judged.where("n > 1 or links is not null").select("id", "first", "late", F.coalesce("links", F.lit(0)).alias("links"))
-    found = occurrences.select("id", "doc_id", "text_key", "at").distinct().join(matter, "id")
-    exact = ~F.col("first").eqNullSafe(place)
-    return found.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_list(F.when(exact, F.col("at")))).alias("exact"),
-        F.array_sort(F.collect_list(F.when(~exact & F.col("late"), F.col("at")))).alias("near"),
-        F.sum("links").alias("links"),
-    )
+    exact = F.col("first") != place
+    told = F.struct("at", exact.alias("exact"), (~exact & F.col("late")).alias("near"), "links")
+    found = occurrences.join(matter, "id").groupBy("key_d", "key_t").agg(F.collect_set(told).alias("told"))  # repeated rows count once
+    which = lambda kind: F.transform(F.filter("told", lambda x: x[kind]), lambda x: x.at)
+    links = F.aggregate("told", F.lit(0).cast("long"), lambda n, x: n + x.links)
+    return found.select("key_d", "key_t", which("exact").alias("exact"), which("near").alias("near"), links.alias("links"))
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs`` with the lines dropped from text; ``lines``, ``exact``, ``near`` and ``links`` count its
     lines, those dropped as equal and as near, and the other lines that are near to one of its own."""
-    base = docs.drop("text_key", "lines", "exact", "near", "links").withColumn("text_key", F.xxhash64("text"))
-    found = repeated_lines(docs, max_edits, min_chars).toDF("of", "of_key", "exact", "near", "links")
-    joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
+    base = docs.drop("key_d", "key_t", "parts", "lines", "exact", "near", "links")
+    found = repeated_lines(docs, max_edits, min_chars)
+    keyed = _keyed(base)
+    doc_id = F.col("doc_id")
+    if dict(base.dtypes)["doc_id"] == "bigint":  # then the key says it, and it needn't be shuffled too
+        keyed, doc_id = keyed.drop("doc_id"), F.nullif("key_d", F.lit(NO_ID))
+    joined = _lines(keyed.join(found, ["key_d", "key_t"], "left"))
     drop = F.concat("exact", "near")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(drop, i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), drop)
+    kept = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
     return joined.select(
-        *(F.when(F.col("of_key").isNotNull() & (F.size(drop) > 0), kept).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in base.columns if c != "text_key"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("lines"),
+        *(F.when(F.size(drop) > 0, kept).otherwise(F.col(c)).alias(c) if c == "text" else doc_id.alias(c) if c == "doc_id" else F.col(c) for c in base.columns),
+        F.size("parts").alias("lines"),
         *(F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("exact", "near")),
         F.coalesce("links", F.lit(0)).alias("links"),
     )
