@@ -156,14 +156,17 @@ ORACLE_LINES = """
     from documents where text is not null),
   long_lines as (select * from lines where length(line) >= 20),
   distinct_lines as (select line, min(doc_id * 1000000 + pos) as first from long_lines group by line),
-  -- one edit lies in one half: the other half is equal at its end of the line
+  -- one edit lies in one half: the other half is equal at its end of the line; d is what the other line is longer
+  longer as (select line, first, unnest([0, 1]) as d from distinct_lines),
+  halves as (
+    select a.line, b.line as other from distinct_lines a join longer b
+      on length(a.line) = length(b.line) - b.d and left(a.line, length(a.line) // 2) = left(b.line, (length(b.line) - b.d) // 2)
+    union
+    select a.line, b.line from distinct_lines a join longer b
+      on length(a.line) = length(b.line) - b.d and right(a.line, length(a.line) // 2) = right(b.line, (length(b.line) - b.d) // 2)),
+  close_lines as (select line, other from halves where line <> other and levenshtein(line, other) <= 1),
   near_lines as (
-    select a.line, b.line as other, b.first as other_first
-    from distinct_lines a join distinct_lines b
-      on a.line <> b.line and abs(length(a.line) - length(b.line)) <= 1
-     and (left(a.line, least(length(a.line), length(b.line)) // 2) = left(b.line, least(length(a.line), length(b.line)) // 2)
-       or right(a.line, least(length(a.line), length(b.line)) // 2) = right(b.line, least(length(a.line), length(b.line)) // 2))
-    where levenshtein(a.line, b.line) <= 1),
+    select c.line, c.other, d.first as other_first from (select line, other from close_lines union select other, line from close_lines) c join distinct_lines d on d.line = c.other),
   near_of as (select line, min(other_first) as earliest, count(*) as links from near_lines group by line),
   judged as (
     select l.doc_id, l.pos, l.line, coalesce(n.links, 0) as links,
