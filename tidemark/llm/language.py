@@ -99,8 +99,8 @@ def fit(labelled: DataFrame, fit_documents: int = FIT_DOCUMENTS, seed: int = 1)
     table[counts["slot"].to_numpy(np.int64), counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)] = counts["n"]
     grams, scripts = table[:SLOTS], table[SLOTS:]
     logs = np.log(grams + 0.5) - np.log(grams.sum(0) + 0.5 * SLOTS)
-    shares = scripts / np.maximum(scripts.sum(0), 1)
-    return Model(languages, (logs - logs.mean(1, keepdims=True)).astype(np.float32), shares >= SCRIPT_SHARE)
+    centred = logs - logs.mean(1, keepdims=True) if languages else logs
+    return Model(languages, centred.astype(np.float32), scripts / np.maximum(scripts.sum(0), 1) >= SCRIPT_SHARE)
 
 
 def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: float) -> np.ndarray:
