@@ -73,7 +73,8 @@ def _count_distance(a: Column, b: Column) -> Column:
 
 def edit_candidates(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(a, b), a < b: ids of distinct lines that may be within ``max_edits`` edits; ``lines`` has (id, line), ids distinct."""
-    own, probes = _keys(F.col("line"), F.length("line"), max_edits)
+    lines = lines.select("id", "line", F.length("line").alias("length"))  # counted once, not in every key
+    own, probes = _keys(F.col("line"), F.col("length"), max_edits)
     counts = _counts(F.col("line"))
     index = lines.select("id", counts.alias("counts"), own.alias("keys")).select("id", "counts", F.explode("keys").alias("key"))
     probe = lines.select("id", counts.alias("counts"), probes.alias("keys")).select("id", "counts", F.explode("keys").alias("x"))
