@@ -50,8 +50,10 @@ def _keys(line: Column, length: Column, k: int) -> tuple[Column, Column]:
                     own.append(key)
                     probes.append(F.struct(key, F.lit(1).alias("own")))
                 else:
-                    probes.append(F.when((at >= 1) & (at + size - 1 <= length), F.struct(key, F.lit(0).alias("own"))))
-    return F.array(*own), F.array_compact(F.array(*probes))
+                    fits = (at >= 1) & (at + size - 1 <= length)
+                    probes.append(F.struct(F.when(fits, key).alias("key"), F.lit(0).alias("own")))
+    # Plain arrays: of one whose size isn't known beforehand, Spark would compute all keys twice, to skip empty ones.
+    return F.array(*own), F.array(*probes)
 
 
 def _counts(line: Column) -> Column:
