@@ -1,14 +1,15 @@
 """Line deduplication with DataFrame functions only: an edit-distance join over segment partitions.
 
 A line is dropped if an earlier document, or an earlier place of its document, holds an
-equal line or one within ``max_edits`` edits.  Lines shorter than ``min_chars`` characters
-are always kept.
+equal line or one within as many edits as the shorter of the two allows: one for every 30
+characters, at least one, at most the cube root of its length, or the fixed ``max_edits``.
+Lines shorter than ``min_chars`` characters are always kept.
 
 Two lines within k edits agree in at least one of k + 1 segments of the shorter, up to a
-small shift.  So each line enters an index with its segments, keyed by its length, and
-probes it with those substrings of its own that can match a segment of a line of its
-length or up to k less; the starts that matter follow from the edits that are left on
-either side of the segment.  Candidates whose letter counts differ too much are never
+small shift.  So each line enters an index with its segments, keyed by its length, which
+gives k, and probes it with those substrings of its own that can match a segment of a line
+of its length or up to k less; the starts that matter follow from the edits that are left
+on either side of the segment.  Candidates whose letter counts differ too much are never
 emitted; the others are verified by a banded edit distance.
 
 Defined results: a null text stays null and an empty one empty, both without lines to
@@ -22,38 +23,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_EDITS = 1
 MIN_CHARS = 20
+#: A line allows one edit for so many characters.
+CHARS_AN_EDIT = 30
 
 #: Letters whose counts are compared before a candidate is emitted.
 COUNTED = "enai"
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def edits(length: Column) -> Column:
+    """How many edits a line of this length allows: never fewer than a shorter one. The keys to probe grow with their cube."""
+    root = F.floor(F.cbrt(length + F.lit(0.5)))  # the half keeps roots of cubes whole
+    return F.greatest(F.lit(1), F.least(F.floor(length / CHARS_AN_EDIT), root)).cast("int")
+
+
+def _allowed(length: Column, max_edits: int | None) -> Column:
+    return edits(length) if max_edits is None else F.lit(max_edits)
+
+
+def _segment(length: Column, i: Column, parts: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 0); the last ones are longer by one."""
     base, longer = F.floor(length / parts), length % parts
-    extra = F.greatest(longer - (parts - i), F.lit(0)) if i else F.lit(0)
-    return (base * i + 1 + extra).cast("int"), (base + (F.lit(parts - i) <= longer).cast("int")).cast("int")
-
-
-def _keys(line: Column, length: Column, k: int) -> tuple[Column, Column]:
-    """The keys of the line's own segments, and structs of all keys it probes for: its own (``own`` 1) and others."""
-    own, probes = [], []
-    for shorter in range(k + 1):
-        for i in range(k + 1):
-            start, size = _segment(length - shorter, i, k + 1)
-            left, right = i, k - i  # edits that can lie before the segment and after it
-            for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                at = start + shift
-                key = F.xxhash64(length - shorter, F.lit(i), F.substring(line, at, size)).alias("key")
-                if shorter == shift == 0:
-                    own.append(key)
-                    probes.append(F.struct(key, F.lit(1).alias("own")))
-                else:
-                    fits = (at >= 1) & (at + size - 1 <= length)
-                    probes.append(F.struct(F.when(fits, key).alias("key"), F.lit(0).alias("own")))
-    # Plain arrays: of one whose size isn't known beforehand, Spark would compute all keys twice, to skip empty ones.
-    return F.array(*own), F.array(*probes)
+    extra = F.greatest(longer - (parts - i), F.lit(0))
+    return (base * i + 1 + extra).cast("int"), (base + (parts - i <= longer).cast("int")).cast("int")
+
+
+def _key(length: Column, i: Column, line: Column, at: Column, size: Column) -> Column:
+    return F.xxhash64(length, i, F.substring(line, at, size))
+
+
+def _index(lines: DataFrame, max_edits: int | None) -> DataFrame:
+    """id, counts and the key of each segment of each line."""
+    k, i = F.col("k"), F.col("i")
+    rows = lines.withColumn("k", _allowed(F.col("length"), max_edits)).select("*", F.explode(F.sequence(F.lit(0), k)).alias("i"))
+    start, size = _segment(F.col("length"), i, k + 1)
+    return rows.select("id", "counts", _key(F.col("length"), i, F.col("line"), start, size).alias("key"))
+
+
+def _probes(lines: DataFrame, max_edits: int | None) -> DataFrame:
+    """other, counts_b, key, k and own of all keys that each line probes for: its own (``own``) and others.
+
+    One row a key from three generators, so that all is computed from the line at hand, once, whatever k is.
+    """
+    length, k, i, shorter = (F.col(c) for c in ("length", "k", "i", "shorter"))
+    rows = lines.select("*", F.explode(F.sequence(F.lit(0), F.least(_allowed(length, max_edits), length))).alias("shorter"))
+    rows = rows.withColumn("k", _allowed(length - shorter, max_edits)).where("shorter <= k").select("*", F.explode(F.sequence(F.lit(0), k)).alias("i"))
+    left, right = i, k - i  # edits that can lie before the segment and after it
+    low, high = F.greatest(-left, shorter - right), F.least(left, shorter + right)
+    rows = rows.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("shift"))
+    start, size = _segment(length - shorter, i, k + 1)
+    at = start + F.col("shift")
+    own = (shorter == 0) & (F.col("shift") == 0)
+    rows = rows.where((at >= 1) & (at + size - 1 <= length))
+    return rows.select(F.col("id").alias("other"), F.col("counts").alias("counts_b"), _key(length - shorter, i, F.col("line"), at, size).alias("key"), k.cast("short").alias("k"), own.alias("own"))
 
 
 def _counts(line: Column) -> Column:
@@ -73,17 +95,13 @@ def _count_distance(a: Column, b: Column) -> Column:
     return total
 
 
-def edit_candidates(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b), a < b: ids of distinct lines that may be within ``max_edits`` edits; ``lines`` has (id, line), ids distinct."""
-    lines = lines.select("id", "line", F.length("line").alias("length"))  # counted once, not in every key
-    own, probes = _keys(F.col("line"), F.col("length"), max_edits)
-    counts = _counts(F.col("line"))
-    index = lines.select("id", counts.alias("counts"), own.alias("keys")).select("id", "counts", F.explode("keys").alias("key"))
-    probe = lines.select("id", counts.alias("counts"), probes.alias("keys")).select("id", "counts", F.explode("keys").alias("x"))
-    probe = probe.select(F.col("id").alias("other"), F.col("counts").alias("counts_b"), "x.key", "x.own")
-    once = (F.col("own") == 0) | (F.col("id") < F.col("other"))  # own segments meet own ones of the same length from both sides
-    near = (F.col("id") != F.col("other")) & (_count_distance(F.col("counts"), F.col("counts_b")) <= 2 * max_edits)
-    return index.join(probe, "key").where(once & near).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def edit_candidates(lines: DataFrame, max_edits: int | None = None) -> DataFrame:
+    """(a, b), a < b: ids of distinct lines that may be within the allowed edits; ``lines`` has (id, line), ids distinct."""
+    lines = lines.select("id", "line", F.length("line").alias("length"), _counts(F.col("line")).alias("counts"))  # once, not in every key
+    once = ~F.col("own") | (F.col("id") < F.col("other"))  # own segments meet own ones of the same length from both sides
+    near = (F.col("id") != F.col("other")) & (_count_distance(F.col("counts"), F.col("counts_b")) <= 2 * F.col("k"))
+    found = _index(lines, max_edits).join(_probes(lines, max_edits), "key").where(once & near)
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 #: Stands for a null id.
@@ -100,7 +118,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.withColumn("parts", F.explode(F.array(F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))))
 
 
-def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """key_d, key_t and, per document with any, ``exact`` and ``near``: the line numbers (from 0) to drop, and ``links``."""
     keyed = _keyed(docs).select("text", "key_d", "key_t")
     occurrences = keyed.select("key_d", "key_t", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.length("line") >= min_chars)
@@ -117,7 +135,8 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     for x in "ab":
         texts = keyed.withColumnsRenamed({"key_d": f"{x}_d", "key_t": f"{x}_t"})
         pairs = _lines(pairs.join(texts, [f"{x}_d", f"{x}_t"])).withColumn(f"line_{x}", F.get("parts", F.col(f"first_{x}.at"))).drop("parts", "text")
-    links = pairs.where(F.levenshtein("line_a", "line_b", max_edits) >= 0)
+    pairs = pairs.withColumn("allowed", _allowed(F.least(F.length("line_a"), F.length("line_b")), max_edits))
+    links = pairs.where(F.expr("levenshtein(line_a, line_b, allowed) >= 0"))
     way = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"first_{y}").alias("other"))
     ends = links.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("end")).select("end.*")
     linked = ends.groupBy("id").agg(F.min("other").alias("earliest"), F.count("*").alias("links"))
@@ -132,7 +151,7 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     return found.select("key_d", "key_t", which("exact").alias("exact"), which("near").alias("near"), links.alias("links"))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs`` with the lines dropped from text; ``lines``, ``exact``, ``near`` and ``links`` count its
     lines, those dropped as equal and as near, and the other lines that are near to one of its own."""
     base = docs.drop("key_d", "key_t", "parts", "lines", "exact", "near", "links")
