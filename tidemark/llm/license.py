@@ -3,7 +3,8 @@
 Where a document has a word that only license texts use much, the surroundings are aligned
 with each template that has it: words that occur once in both are anchors, the longest
 increasing subsequence of them is kept, and the gaps between are aligned in the same way.
-A template is found where enough of its words are aligned close together.
+A template is found where enough of its words are aligned close together, and the words that
+tell it from its neighbours (name, version, NC, SA, ND) stand in one run, with none between.
 
 Defined results: null and empty texts have no licenses; every place of a license is found,
 also of the same one; of templates that overlap, the one with more aligned words counts,
@@ -41,11 +42,71 @@ TEMPLATES = {
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 
+_GNU_HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+_GNU = {"gpl": ("General Public License", "2 3"), "lgpl": ("Lesser General Public License", "2.1 3"), "agpl": ("Affero General Public License", "3")}
+_CC = {"": "", "-sa": "ShareAlike", "-nd": "NoDerivatives", "-nc": "NonCommercial", "-nc-sa": "NonCommercial ShareAlike", "-nc-nd": "NonCommercial NoDerivatives"}
+_CC_PLACES = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}
+
+#: The runs of words that tell a template from its neighbours; a template that isn't here is told by its length.
+RUNS = {
+    "mit-notice": ["MIT License"],
+    "apache-2.0-notice": ["Apache License, Version 2.0"],
+    "apache-2.0-header": ["Apache License, Version 2.0"],
+    "gpl-3.0-notice": ["GNU General Public License, version 3"],
+    "cc-by-nc-4.0-notice": ["CC BY-NC 4.0"],
+    "cc-by-4.0-notice": ["Creative Commons Attribution 4.0"],
+    "cc-by-sa-4.0-notice": ["Creative Commons Attribution-ShareAlike 4.0"],
+    "mit": ["permission notice shall be included"],
+    "isc": ["permission notice appear"],
+    "gpl-3.0-header": ["GNU General Public License as", "version 3 of"],
+    "mpl-2.0-header": ["Mozilla Public License, v. 2.0"],
+}
+
+
+def _more() -> list[tuple[str, str, list[str]]]:
+    """(license, text, runs) of the neighbours of the templates above, and of other wordings of these."""
+    mit = TEMPLATES["mit"]
+    found = [
+        ("mit-0", mit[: mit.index(", subject to")] + mit[mit.index(" THE SOFTWARE IS") :], ["furnished to do so THE SOFTWARE IS PROVIDED"]),
+        ("bsd-3-clause", TEMPLATES["bsd"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["Neither the name of"]),
+        ("bsd-4-clause", TEMPLATES["bsd"] + " All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["All advertising materials mentioning", "Neither the name of"]),
+        ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ["with or without fee is hereby granted"]),
+        ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ["free and unencumbered software"]),
+        ("mpl-1.1-header", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/', ["Mozilla Public License Version 1.1"]),
+    ]
+    # Names in running text; each counts after one of the usual beginnings.
+    named = [("isc", "the ISC License"), ("bsd", "the BSD License"), ("unlicense", "the Unlicense"), ("unlicense", "the Unlicense License"), ("mit-0", "the MIT No Attribution License"), ("cc0-1.0", "CC0 1.0 Universal"), ("cc0-1.0", "CC0 1.0")]
+    named += [("mit", "the MIT License"), *((f"bsd-{n}-clause", f"the BSD {n}-Clause License") for n in "234")]
+    named += [(f"apache-{v}", f"the Apache License, {x}{v}") for v in ("1.0", "1.1", "2.0") for x in ("Version ", "v", "")]
+    named += [(f"mpl-{v}", f"the Mozilla Public License, {x}{v}") for v in ("1.0", "1.1", "2.0") for x in ("Version ", "v. ", "v", "")]
+    for short, (name, versions) in _GNU.items():
+        named += [(short, f"the GNU {name}"), (short, f"the {short}"), (short, f"the GNU {short}")]
+        for v in versions.split():
+            full = v if "." in v else f"{v}.0"
+            found.append((f"{short}-{full}-header", _GNU_HEADER.format(name=name, version=v), [f"GNU {name} as", f"version {v} of"]))
+            named += [(f"{short}-{full}", f"the {x} {y}") for x in (f"GNU {name}", short, f"GNU {short}") for y in (f"version {v}", f"v{v}", f"v {v}", v)]
+            named += [(f"{short}-{full}", f"the {x}{short}v{v}") for x in ("", "GNU ")]
+    named += [("lgpl-2.0", "the GNU Library General Public License, version 2")]
+    for short, name in _CC.items():
+        for v, place in _CC_PLACES.items():
+            id_ = f"cc-by{short}-{v}"
+            for spelled in {name, name.replace("NoDerivatives", "NoDerivs"), name.replace("NonCommercial", "Non-Commercial"), name.replace("ShareAlike", "Share Alike")}:
+                named += [(id_, f"a Creative Commons Attribution {spelled} {v} {x}") for x in (f"{place} License", "License", "")]
+            named.append((id_, f"CC BY{short} {v}"))
+    for id_, name in named:
+        run = name.removeprefix("the ").removeprefix("a ")
+        for start in ("Licensed under", "Released under", "This work is licensed under"):
+            found.append((f"{id_}-notice", f"{start} {name}", [run]))
+    return found
+
+
 #: Every template has one of these words.
-SEEDS = frozenset("license licensed licenses licence licenced permission redistribution redistributions".split())
+SEEDS = frozenset("license licensed licenses licence licenced permission redistribution redistributions unlicense released unencumbered".split())
 
 _WORD = re.compile(r"\w+")
-_SEED = r"(?i)licen[cs]e|permission|redistribution"
+#: Only a version that is longer by zeros is the same one: 3.0 is 3, 2.1 isn't 2.
+_OTHER_VERSION = re.compile(r"\.0*[1-9]")
+_SEED = r"(?i)licen[cs]e|permission|redistribution|released|unencumbered"
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,25 +166,58 @@ def _densest(aligned: list[tuple[int, int]], length: int) -> list[tuple[int, int
     return aligned[best[0] : best[1]]
 
 
-_TEMPLATE_WORDS = {name: [w.lower() for w in _WORD.findall(text)] for name, text in TEMPLATES.items()}
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def _place(run: list[str], template: list[str]) -> range:
+    at = next(i for i in range(len(template)) if template[i : i + len(run)] == run)
+    return range(at, at + len(run))
+
+
+def _prepared() -> list[tuple[str, list[str], list[range], frozenset[str]]]:
+    """(license, words, places of its runs, words of its runs) of all templates, each wording once."""
+    rows = {}
+    for name, text, runs in [*((name, text, RUNS.get(name, [])) for name, text in TEMPLATES.items()), *_more()]:
+        template = _words(text)
+        places = [_place(_words(run), template) for run in runs]
+        rows.setdefault((name, *template), (name, template, places, frozenset(template[p] for place in places for p in place)))
+    return list(rows.values())
+
+
+_PREPARED = _prepared()
+
+
+def _told(aligned: list[tuple[int, int]], places: list[range], ends: list[int], text: str) -> bool:
+    """Whether every run is aligned as a whole, with no other word in it and no other version at its end."""
+    at = {p: t for t, p in aligned}
+    for place in places:
+        first = at.get(place[0])
+        if first is None or any(at.get(p) != first + n for n, p in enumerate(place)) or _OTHER_VERSION.match(text, ends[at[place[-1]]]):
+            return False
+    return True
 
 
 def scan(text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first and last character + 1) of every license text."""
     spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     words = [text[a:b].lower() for a, b in spans]
+    ends = [b for _, b in spans]
+    seeds = [(i, w) for i, w in enumerate(words) if w in SEEDS]
+    known = set(words) if seeds else set()
     found = []
-    for name, template in _TEMPLATE_WORDS.items():
-        wanted = SEEDS.intersection(template)
+    for name, template, places, telling in _PREPARED:
+        if not telling <= known:
+            continue
         done = 0
-        for seed in (i for i, w in enumerate(words) if w in wanted):
-            if seed < done:
+        for seed, word in seeds:
+            if seed < done or word not in template:
                 continue
-            at = template.index(words[seed])
+            at = template.index(word)
             for slack in (len(template), SLACK, 1):  # narrower where a copy stands so near that its words aren't unique
                 first = max(0, seed - at - slack, done)
                 got = _densest(align(words[first : seed - at + len(template) + slack], template), len(template) + SLACK)
-                if len(got) >= coverage * len(template):
+                if len(got) >= coverage * len(template) and _told([(first + t, p) for t, p in got], places, ends, text):
                     start, end = first + got[0][0], first + got[-1][0] + 1
                     found.append((-len(got), name, len(got) / len(template), start, end))
                     done = end
