@@ -2,55 +2,59 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import times, wording
 from tidemark.operators.latest import latest_by
 
-ASSIGNED = "course_key long, candidate_key long, event_id string, outcome string"
-
-
 def assign_events(candidates: DataFrame) -> DataFrame:
     """course_key, candidate_key, event_id, outcome (CREATED, MERGED, RELATED_CHANGE, UNRESOLVED).
 
-    ``candidates``: course_key, candidate_key, title, kind, change, signature (of its time).  Only candidates of a
-    course with the same title identity can match, so these are the groups; one without identity is its own.
-    Inside a group the candidates come in the order of their keys, changes after plain ones.
+    ``candidates``: course_key, candidate_key (distinct), title, kind, change, signature (of its time).  Only candidates
+    of a course with the same title identity and kind can match; one without identity is its own.  The candidates come in
+    the order of their keys, changes after plain ones; one that agrees with a single event joins it, one that agrees with
+    none makes an event, except for changes.
+
+    What this comes to is decided on the first key of each signature, not on candidates one after another:
+    - Signatures agree only if they are equal or a date and an instant of that day, so days and weeks don't meet.
+    - A date that comes when its day has at most one event holds the whole day together; else it never joins one, and
+      each instant is an event of its own.
+    - One without a time agrees with everything: it joins the first event until there is a second.
+    - If the first of all has no time, its event is the one of the first that has.
     """
     keyed = candidates.withColumn("identity", wording.title_identity(F.col("title")))
-    keyed = keyed.withColumn("block", F.when(F.col("identity") == "", F.concat(F.lit("\x00"), F.col("candidate_key").cast("string"))).otherwise(F.col("identity")))
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        events: list[dict] = []
-        rows = []
-        pdf = pdf.sort_values(["is_change", "candidate_key"])
-        for c in pdf.itertuples(index=False):
-            same_kind = [e for e in events if e["kind"] == c.kind]
-            agreeing = [e for e in same_kind if not c.signature or not e["times"] or any(_agree(c.signature, t) for t in e["times"])]
-            if c.is_change:
-                outcome, event = ("RELATED_CHANGE", same_kind[0]) if len(same_kind) == 1 else ("UNRESOLVED", None)
-            elif len(agreeing) == 1:
-                outcome, event = "MERGED", agreeing[0]
-            else:
-                outcome, event = ("UNRESOLVED", None) if agreeing else ("CREATED", None)
-            if event is None:
-                event = {"id": f"{c.course_key}:{c.candidate_key}", "kind": c.kind, "times": set()}
-                if outcome == "CREATED":
-                    events.append(event)
-            if c.signature and not c.is_change:
-                event["times"].add(c.signature)
-            rows.append((c.course_key, c.candidate_key, event["id"], outcome))
-        return pd.DataFrame(rows, columns=["course_key", "candidate_key", "event_id", "outcome"])
-
-    grouped = keyed.select("course_key", "block", "candidate_key", F.coalesce("kind", F.lit("")).alias("kind"), (F.col("change") != "NONE").alias("is_change"), F.coalesce("signature", F.lit("")).alias("signature"))
-    decided = grouped.groupBy("course_key", "block").applyInPandas(decide, ASSIGNED)
-    return decided.withColumn("event_id", F.sha2("event_id", 256))
-
-
-def _agree(a: str, b: str) -> bool:
-    return a == b or ({a.split(" ")[0], b.split(" ")[0]} == {"instant", "date"} and a.split(" ")[1] == b.split(" ")[1])
+    block = F.when(F.col("identity") == "", F.concat(F.lit("\x00"), F.col("candidate_key").cast("string"))).otherwise(F.col("identity"))
+    keyed = keyed.select(
+        "course_key", F.coalesce(F.col("course_key").cast("string"), F.lit("")).alias("course"), block.alias("block"), F.coalesce("kind", F.lit("")).alias("kind"),
+        "candidate_key", F.coalesce(F.col("change") != "NONE", F.lit(False)).alias("is_change"), F.coalesce("signature", F.lit("")).alias("signature"),
+    )
+    group = ["course", "block", "kind"]
+    plain = keyed.where("not is_change").groupBy(*group, "signature").agg(F.min("candidate_key").alias("first"))
+
+    word, day = F.split_part("signature", F.lit(" "), F.lit(1)), F.split_part("signature", F.lit(" "), F.lit(2))
+    signed = plain.where("signature != ''").withColumn("is_date", word == "date").withColumn("unit", F.when(word.isin("instant", "date"), F.concat(F.lit("day "), day)).otherwise(F.col("signature")))
+    of_day = Window.partitionBy(*group, "unit")
+    signed = signed.withColumn("dated", F.min(F.when(F.col("is_date"), F.col("first"))).over(of_day))
+    before = F.count_if(~F.col("is_date") & (F.col("first") < F.col("dated"))).over(of_day)
+    together = F.col("dated").isNotNull() & (before <= 1)
+    maker = F.when(together, F.min("first").over(of_day)).when(~F.col("is_date"), F.col("first"))
+    signed = signed.select(*group, "signature", maker.alias("maker"))
+
+    makers = signed.where("maker is not null").select(*group, "maker").distinct()
+    made = makers.groupBy(*group).agg(F.min("maker").alias("made"), F.count("*").alias("n"))
+    second = makers.join(made, group).where("maker > made").groupBy(*group).agg(F.min("maker").alias("second"))
+    groups = plain.groupBy(*group).agg(F.min("first").alias("earliest")).join(made, group, "left").join(second, group, "left")
+
+    joined = keyed.join(groups, group, "left").join(signed, [*group, "signature"], "left")
+    key, earliest = F.col("candidate_key"), F.col("earliest")
+    timed = F.when(F.col("maker") == F.col("made"), earliest).otherwise(F.col("maker"))
+    untimed = F.when((key < F.col("second")) | F.col("second").isNull(), earliest)
+    related = F.when(F.coalesce("n", F.lit(1)) == 1, earliest)
+    event = F.when(F.col("is_change"), related).when(F.col("signature") == "", untimed).otherwise(timed)
+    outcome = F.when(F.col("event").isNull(), "UNRESOLVED").when(F.col("is_change"), "RELATED_CHANGE").when(F.col("event") == key, "CREATED").otherwise("MERGED")
+    event_id = F.sha2(F.concat_ws(":", "course", F.coalesce("event", key).cast("string")), 256)
+    return joined.withColumn("event", event).select("course_key", "candidate_key", event_id.alias("event_id"), outcome.alias("outcome"))
 
 
 def build_claims(fields: DataFrame, candidates: DataFrame) -> DataFrame:

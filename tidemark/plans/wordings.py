@@ -91,9 +91,11 @@ def extract_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = announcements(spark, sf_dir).where("course_key % 4 = 0")
-    found = extract.extract_mentions(rows.select(F.col("key").alias("doc_id"), F.lit(0).alias("ordinal"), "text")).where("mention = 1").withColumnRenamed("doc_id", "candidate_key")
-    return found.join(rows.select(F.col("key").alias("candidate_key"), (F.col("course_key") % 40).alias("course_key"), "day"), "candidate_key")
+    """Every mention of every announcement; the key orders them by announcement, then by mention."""
+    rows = announcements(spark, sf_dir)
+    found = extract.extract_mentions(rows.select(F.col("key").alias("doc_id"), F.lit(0).alias("ordinal"), "text"))
+    found = found.withColumn("candidate_key", F.shiftleft("doc_id", 16) + F.col("mention"))
+    return found.join(rows.select(F.col("key").alias("doc_id"), "course_key", "day"), "doc_id").drop("doc_id")
 
 
 def candidate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
