@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import latest
+from tidemark.operators import latest, search
 
 
 def ingest(stream: DataFrame, delay: str, key: tuple[str, ...] = ("resource_key", "run_key", "fingerprint")) -> DataFrame:
@@ -39,10 +39,17 @@ def windowed_counts(stream: DataFrame, delay: str, width: str) -> DataFrame:
     )
 
 
-def refresh_index(path: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that rebuilds the parts of an index (by course) that a batch of documents touches."""
+def refresh_index(path: str, documents: Callable[[], DataFrame], build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that rebuilds the courses of an index that a batch of changes (old_course, new_course) touches.
+
+    ``documents`` reads the full documents table (course and more) as it is with the batch; a course without documents loses its rows.
+    Each batch writes a new generation and the next one reads the last, so a batch that is run again gives the same.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("course").parquet(path)
+        courses = search.affected(batch)
+        rebuilt = build(documents().join(courses, "course", "left_semi"))
+        index = search.refresh(batch.sparkSession.read.parquet(f"{path}/{batch_id - 1}"), rebuilt, courses) if batch_id else rebuilt
+        index.write.mode("overwrite").parquet(f"{path}/{batch_id}")
 
     return sink
