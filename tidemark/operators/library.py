@@ -48,15 +48,16 @@ def resolve_sources(refs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return refs.join(named, ["kind", "key"], "left")
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """node, root, depth, path of every node of a parent tree (node, parent); what hangs on a cycle or a missing parent has none.
 
-    One equi join a level; the lineage is cut by the checkpoint of each level.
+    One equi join a level, down to the last one; the lineage is cut by the checkpoint of each level. A node that is on its
+    own path ends it.
     """
     from_root = nodes.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
     level, found = from_root, [from_root]
-    for _ in range(max_depth):
-        level = nodes.where("parent is not null").join(level.select(F.col("node").alias("parent"), "root", "depth", "path"), "parent").select("node", "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
+    while True:
+        level = nodes.where("parent is not null").join(level.select(F.col("node").alias("parent"), "root", "depth", "path"), "parent").where(~F.array_contains("path", F.col("node"))).select("node", "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
         level = level.checkpoint() if level.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else level.persist()
         if level.isEmpty():
             break
