@@ -21,8 +21,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.letters import batches, runs, span_hash
 from tidemark.llm.shared import saved
@@ -157,12 +159,16 @@ def fit_chain(doc: np.ndarray, key: np.ndarray, labels: np.ndarray, folds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], fit_documents: int = FIT_DOCUMENTS, seed: int = 1) -> list[Linear]:
-    """Learn the categories, conditions on the columns of ``labels`` (doc_id, ...), in their order."""
+    """Learn the categories, conditions on the columns of ``labels`` (doc_id, ...), in their order.
+
+    The rows that are learned from, at most ``fit_documents`` with a few features each, meet in
+    one task, and only the models come back; features travel as bytes of 64-bit numbers.
+    """
     names = list(categories)
     wanted = labels.select("doc_id", *(F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values()))).where("doc_id is not null")
     wanted = wanted.groupBy("doc_id").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))))
     wanted = wanted.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_documents)
-    texts = saved(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]))
+    texts = saved(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]))
     ys = [f"y{i}" for i in range(len(names))]
     kept = texts.sparkSession.sparkContext.broadcast(_candidates(texts, ys))
 
@@ -171,14 +177,20 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], fit_d
             for first, held in batches(part["text"].tolist()):
                 text, found = features(held, kept.value)
                 ends = np.searchsorted(text, np.arange(len(held) + 1))
-                yield part.iloc[first : first + len(held)][["doc_id", *ys]].assign(found=[found[a:b].view(np.int64) for a, b in zip(ends[:-1], ends[1:])])
+                yield part.iloc[first : first + len(held)][["doc_id", *ys]].assign(found=[found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id", ignore_index=True)
+        key = np.frombuffer(b"".join(rows["found"]), np.uint64)
+        doc = np.repeat(np.arange(len(rows)), rows["found"].map(len).to_numpy() // key.itemsize)
+        chain = fit_chain(doc, key, rows[ys].to_numpy())
+        return pd.DataFrame([(k, m.keys.tobytes(), m.weights.tobytes(), m.chain.tobytes(), m.intercept) for k, m in enumerate(chain)], columns=["k", "keys", "weights", "chain", "intercept"])
 
-    schema = ", ".join(["doc_id long", *(f"{y} int" for y in ys), "found array<long>"])
-    rows = texts.mapInPandas(extract, schema).toPandas().sort_values("doc_id", ignore_index=True)
-    sizes = rows["found"].map(len).to_numpy() if len(rows) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    key = np.concatenate([np.zeros(0, np.int64), *rows["found"]]).astype(np.int64).view(np.uint64)
-    return fit_chain(doc, key, rows[ys].to_numpy())
+    schema = ", ".join(["doc_id long", *(f"{y} int" for y in ys), "found binary"])
+    models = texts.mapInPandas(extract, schema).groupBy().applyInPandas(learn, "k int, keys binary, weights binary, chain binary, intercept double")
+    found = [Linear(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["weights"]), np.frombuffer(r["chain"]), r["intercept"]) for r in sorted(models.collect(), key=lambda r: r["k"])]
+    kept.unpersist()
+    return found or fit_chain(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, len(ys)), np.int64))
 
 
 def _candidates(texts: DataFrame, ys: list[str]) -> np.ndarray:
@@ -204,29 +216,31 @@ def _candidates(texts: DataFrame, ys: list[str]) -> np.ndarray:
         ratio = F.log(with_ / (positive + 1)) - F.log(without / (n - positive + 1))
         z = F.abs(ratio) / F.sqrt(1 / with_ + 1 / without)
         chosen += [r.feature for r in counts.orderBy(z.desc(), "feature").select("feature").limit(CANDIDATES).collect()]
-    return np.unique(np.array(chosen, np.int64).view(np.uint64))
+    return np.unique(np.array(chosen, np.int64)).view(np.uint64)
 
 
 def predict(docs: DataFrame, chain: list[Linear], names: list[str]) -> DataFrame:
-    """The columns of ``docs`` with p_<category> for every category."""
+    """The columns of ``docs`` with p_<category> for every category; a column that has such a name already is replaced."""
     chain_of = docs.sparkSession.sparkContext.broadcast(chain)
     columns = [f"p_{name}" for name in names]
-    base = docs.drop(*columns)
+    base = docs.drop(*columns).withColumn("text", F.col("text").cast("string"))
+    place = base.columns.index("text")
 
     def run(parts):
         chain = chain_of.value
         keep = np.unique(np.concatenate([np.zeros(0, np.uint64), *(m.keys for m in chain)]))
         for part in parts:
-            for first, held in batches(part["text"].tolist()):
+            odds = [np.zeros((0, len(chain)))]
+            for _, held in batches(part.column(place).to_pylist()):
                 doc, key = features(held, keep)
                 before = np.zeros((len(held), 0))
                 for model in chain:
                     before = np.c_[before, np.clip(_apply(model, doc, key, before), -50, 50)]
-                out = part.iloc[first : first + len(held)]
-                yield out.assign(**{c: _sigmoid(before[:, k]) for k, c in enumerate(columns)})
+                odds.append(before)
+            found = _sigmoid(np.concatenate(odds))
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[:, k]) for k in range(len(columns)))], names=[*part.schema.names, *columns])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"`{c}` double" for c in columns)])
-    return base.mapInPandas(run, schema)
+    return base.mapInArrow(run, T.StructType([*base.schema, *(T.StructField(c, T.DoubleType()) for c in columns)]))
 
 
 def categories() -> dict[str, Column]:
@@ -236,7 +250,10 @@ def categories() -> dict[str, Column]:
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs``, the probabilities, and ``rejected``: whether the document is toxic."""
+    """All columns of ``docs``, the probabilities, and ``rejected``: whether the document is toxic.
+
+    Columns of ``docs`` with the names of these are replaced.
+    """
     wanted = categories()
     model = fit(docs, labels, wanted)
     return predict(docs, model, list(wanted)).withColumn("rejected", F.col("p_toxic") >= threshold)
