@@ -56,7 +56,7 @@ def test_lines_drop_once(spark, odd):
     rows = [(1, f"{a}\nshort\n{b}"), (2, f"short\n{a[:-1]}!\n{b}"), (3, b), (3, b), (4, None)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     got = {r.doc_id: (r.text, r.exact, r.near, r.links) for r in linededup.dedup_lines(docs).collect()}
-    assert got == {1: (rows[0][1], 0, 0, 1), 2: ("short", 1, 1, 1), 3: ("", 1, 0, 0), 4: (None, 0, 0, 0)}
+    assert got == {1: (rows[0][1], 0, 0, 1), 2: ("", 2, 1, 1), 3: ("", 1, 0, 0), 4: (None, 0, 0, 0)}
     found = linededup.dedup_lines(odd)
     assert found.count() == len(ODD) and linededup.dedup_lines(odd.limit(0)).count() == 0
     assert {r.doc_id: r.text for r in found.collect()} == dict(ODD)

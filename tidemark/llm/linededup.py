@@ -3,109 +3,154 @@
 A line is dropped if an earlier document, or an earlier place of its document, holds an
 equal line or one within as many edits as the shorter of the two allows: one for every 30
 characters, at least one, at most the cube root of its length, or the fixed ``max_edits``.
-Lines shorter than ``min_chars`` characters are always kept.
+Lines shorter than ``min_chars`` characters have to be equal; blank lines are always kept.
 
-Two lines within k edits agree in at least one of k + 1 segments of the shorter, up to a
-small shift.  So each line enters an index with its segments, keyed by its length, which
-gives k, and probes it with those substrings of its own that can match a segment of a line
-of its length or up to k less; the starts that matter follow from the edits that are left
-on either side of the segment.  Candidates whose letter counts differ too much are never
-emitted; the others are verified by a banded edit distance.
+If two lines are within k edits, one of k + 1 segments of the shorter stands unchanged in
+the longer, shifted by no more than the edits before it, seen from the left, and by no more
+than those after it, seen from the right.  So lines are dealt to bands of similar lengths, in
+which segments have one size: the first half of them is counted from the start of the line
+and the others from its end.  Each line enters the index of its band with its segments and
+probes it, and the band below if that is near enough, with its substrings at the shifts that
+are possible.  That is about (k + 1)^2 / 2 keys a line.  Candidates are verified by a banded
+edit distance.
 
 Defined results: a null text stays null and an empty one empty, both without lines to
 drop; rows with the same doc_id and text are one document and get equal results; order is
 by (doc_id, text hash, line number) with null ids first; an empty table gives an empty
-result; other columns are kept as they are.
+result; other columns are kept as they are, but for those named like the ones that are added.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import saved
+
 MIN_CHARS = 20
 #: A line allows one edit for so many characters.
 CHARS_AN_EDIT = 30
-
-#: Letters whose counts are compared before a candidate is emitted.
-COUNTED = "enai"
+#: A band spans so many lengths for each edit that it allows.
+BAND_WIDTH = 8
+#: Ids of up to so many candidate lines are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_LINES = 500_000
+#: A line that makes up a share of 1 / HOT of all repeated ones is dealt to SALTS tasks; there are at most HOT of them.
+HOT, SALTS = 500, 64
+#: Letters whose counts, beside the length, are compared before a candidate is emitted; each has so many bits.
+COUNTED, COUNT_BITS = "enai", 11
+#: Segments are joined in so many rounds, one after the other, so that the keys of one only lie on disk at a time.
+ROUNDS = 2
+#: Stands for a null id.
+NO_ID = -(2**63)
 
 
 def edits(length: Column) -> Column:
-    """How many edits a line of this length allows: never fewer than a shorter one. The keys to probe grow with their cube."""
+    """How many edits a line of this length allows: never fewer than a shorter one."""
     root = F.floor(F.cbrt(length + F.lit(0.5)))  # the half keeps roots of cubes whole
     return F.greatest(F.lit(1), F.least(F.floor(length / CHARS_AN_EDIT), root)).cast("int")
 
 
-def _allowed(length: Column, max_edits: int | None) -> Column:
-    return edits(length) if max_edits is None else F.lit(max_edits)
+def _band(length: Column, max_edits: int | None) -> tuple[Column, Column]:
+    """The edits that lines of this length allow, and the least length of their band; no band is narrower than its edits."""
+    if max_edits is not None:
+        width = BAND_WIDTH * max(1, max_edits)
+        return F.lit(max_edits), (length - length % width).cast("int")
+    k = edits(length)
+    least = lambda k: F.when(k > 1, F.greatest(k * CHARS_AN_EDIT, k * k * k)).otherwise(F.lit(0))
+    width, start = k * BAND_WIDTH, least(k)
+    last = F.greatest(F.floor((least(k + 1) - start) / width), F.lit(1)) - 1  # takes what is left over
+    return k, (start + F.least(F.floor((length - start) / width), last) * width).cast("int")
+
 
+def _code(line: Column) -> Column:
+    """One byte for each character, so that substrings are found without counting; equal characters have equal bytes."""
+    return F.when(F.octet_length(line) == F.length(line), line.cast("binary")).otherwise(F.encode(F.regexp_replace(line, "[^\u0000-\u00ff]", "?"), "ISO-8859-1"))
 
-def _segment(length: Column, i: Column, parts: Column) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0); the last ones are longer by one."""
-    base, longer = F.floor(length / parts), length % parts
-    extra = F.greatest(longer - (parts - i), F.lit(0))
-    return (base * i + 1 + extra).cast("int"), (base + (parts - i <= longer).cast("int")).cast("int")
 
+def _ring(n: Column) -> Column:
+    """A code of a count whose Hamming distances are distances on a ring of 2 * COUNT_BITS places."""
+    full = (1 << COUNT_BITS) - 1
+    codes = [(1 << m) - 1 for m in range(COUNT_BITS)] + [full ^ ((1 << m) - 1) for m in range(COUNT_BITS)]
+    return F.get(F.lit(codes), n % (2 * COUNT_BITS)).cast("long")
 
-def _key(length: Column, i: Column, line: Column, at: Column, size: Column) -> Column:
-    return F.xxhash64(length, i, F.substring(line, at, size))
 
+def _profile(line: Column, k: Column) -> Column:
+    """k and the codes of the length and of the counted letters; an edit changes at most two of these counts by one."""
+    out = k.cast("long")
+    for n in (F.length(line), *(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit(""))) for letter in COUNTED)):
+        out = F.shiftleft(out, COUNT_BITS).bitwiseOR(_ring(n))
+    return out
 
-def _index(lines: DataFrame, max_edits: int | None) -> DataFrame:
-    """id, counts and the key of each segment of each line."""
-    k, i = F.col("k"), F.col("i")
-    rows = lines.withColumn("k", _allowed(F.col("length"), max_edits)).select("*", F.explode(F.sequence(F.lit(0), k)).alias("i"))
-    start, size = _segment(F.col("length"), i, k + 1)
-    return rows.select("id", "counts", _key(F.col("length"), i, F.col("line"), start, size).alias("key"))
 
+def _keys(lines: DataFrame, max_edits: int | None, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """key, profile and p, the even id of the line plus one if the key is of its own segment; ``lines`` has (h, line).
 
-def _probes(lines: DataFrame, max_edits: int | None) -> DataFrame:
-    """other, counts_b, key, k and own of all keys that each line probes for: its own (``own``) and others.
+    Of the segments only every ``rounds``-th one, from number ``turn`` on.
 
-    One row a key from three generators, so that all is computed from the line at hand, once, whatever k is.
+    What can be computed for a line or a segment is, so that little is left for each key.
     """
-    length, k, i, shorter = (F.col(c) for c in ("length", "k", "i", "shorter"))
-    rows = lines.select("*", F.explode(F.sequence(F.lit(0), F.least(_allowed(length, max_edits), length))).alias("shorter"))
-    rows = rows.withColumn("k", _allowed(length - shorter, max_edits)).where("shorter <= k").select("*", F.explode(F.sequence(F.lit(0), k)).alias("i"))
-    left, right = i, k - i  # edits that can lie before the segment and after it
-    low, high = F.greatest(-left, shorter - right), F.least(left, shorter + right)
-    rows = rows.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("shift"))
-    start, size = _segment(length - shorter, i, k + 1)
-    at = start + F.col("shift")
-    own = (shorter == 0) & (F.col("shift") == 0)
-    rows = rows.where((at >= 1) & (at + size - 1 <= length))
-    return rows.select(F.col("id").alias("other"), F.col("counts").alias("counts_b"), _key(length - shorter, i, F.col("line"), at, size).alias("key"), k.cast("short").alias("k"), own.alias("own"))
-
-
-def _counts(line: Column) -> Column:
-    """The number of each counted letter, modulo 256, in a byte of a long."""
-    packed = F.lit(0).cast("long")
-    for i, letter in enumerate(COUNTED):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft((n % 256).cast("long"), 8 * i))
-    return packed
-
-
-def _count_distance(a: Column, b: Column) -> Column:
-    total = F.lit(0).cast("long")
-    for i in range(len(COUNTED)):
-        gap = (F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255))).bitwiseAND(F.lit(255))
-        total = total + F.least(gap, F.lit(256) - gap)
-    return total
+    length, i, k, size = (F.col(c) for c in ("length", "i", "k", "size"))
+    rows = lines.select("h", F.length("line").alias("length"), "line")
+    allowed, band = _band(length, max_edits)
+    rows = rows.select("h", "length", _code(F.col("line")).alias("code"), _profile(F.col("line"), allowed).alias("profile"), band.alias("own_band"))
+    below = F.col("own_band") - 1  # the greatest length of the band below
+    reached = (below > 0) & (length - below <= _band(below, max_edits)[0])
+    rows = rows.select("*", F.explode(F.when(reached, F.array(length, below)).otherwise(F.array(length))).alias("like"))
+    edits_there, band = _band(F.col("like"), max_edits)
+    rows = rows.select("h", "length", "code", "profile", "own_band", edits_there.alias("k"), band.alias("band"))
+    rows = rows.select("*", F.floor(F.col("band") / (k + 1)).cast("int").alias("size"), F.explode(F.sequence(F.lit(turn), F.greatest(k, F.lit(turn)), F.lit(rounds))).alias("i")).where(i <= k)
+    base = F.when(2 * i <= k, i * size).otherwise(length - (k - i + 1) * size)
+    rows = rows.select("h", "code", "profile", "length", "own_band", "band", "size", "k", "i", base.alias("base"), F.least(i, k - i).alias("reach"))
+    low, high = F.greatest(F.col("base") - F.col("reach"), F.lit(0)), F.least(F.col("base") + F.col("reach"), length - size)
+    segment = F.struct("k", "band", "i")
+    own = F.when(F.col("own_band") == F.col("band"), F.col("base")).otherwise(F.lit(-1))
+    rows = rows.select(F.xxhash64(segment).alias("segment"), "h", "code", "profile", "size", own.alias("own"), low.alias("low"), high.alias("high")).where("low <= high")
+    rows = rows.select("segment", "h", "code", "profile", "size", "own", F.explode(F.sequence("low", "high")).alias("at"))
+    key = F.xxhash64("segment", F.substring(F.col("code"), F.col("at") + 1, size))
+    return rows.select(key.alias("key"), "profile", F.col("h").bitwiseAND(-2).bitwiseOR((F.col("at") == F.col("own")).cast("long")).alias("p"))
+
+
+def candidates(lines: DataFrame, max_edits: int | None = None, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """(a, b), a < b: even ids of lines that may be within the allowed edits; ``lines`` has (h, line), both distinct.
+
+    Keys are shuffled once: the condition looks at both sides, so both read the same exchange.
+    A key of very many lines is a skewed partition of a plain join, which AQE splits.
+    """
+    keys = _keys(lines, max_edits, turn, rounds)
+    a, b = (keys.select("key", F.col("p").alias(f"p{x}"), F.col("profile").alias(f"counts_{x}")) for x in "ab")
+    counts = (1 << COUNT_BITS * (1 + len(COUNTED))) - 1
+    gap = F.bit_count(F.col("counts_a").bitwiseXOR(F.col("counts_b")).bitwiseAND(counts))
+    k = F.shiftright(F.least("counts_a", "counts_b"), COUNT_BITS * (1 + len(COUNTED)))
+    met = (a["key"] == b["key"]) & (gap <= 2 * k) & (F.col("pa").bitwiseOR(F.col("pb")).bitwiseAND(1) == 1) & (F.col("pa").bitwiseAND(-2) < F.col("pb").bitwiseAND(-2))
+    return a.join(b, met).select(F.col("pa").bitwiseAND(-2).alias("a"), F.col("pb").bitwiseAND(-2).alias("b")).distinct()
 
 
 def edit_candidates(lines: DataFrame, max_edits: int | None = None) -> DataFrame:
     """(a, b), a < b: ids of distinct lines that may be within the allowed edits; ``lines`` has (id, line), ids distinct."""
-    lines = lines.select("id", "line", F.length("line").alias("length"), _counts(F.col("line")).alias("counts"))  # once, not in every key
-    once = ~F.col("own") | (F.col("id") < F.col("other"))  # own segments meet own ones of the same length from both sides
-    near = (F.col("id") != F.col("other")) & (_count_distance(F.col("counts"), F.col("counts_b")) <= 2 * F.col("k"))
-    found = _index(lines, max_edits).join(_probes(lines, max_edits), "key").where(once & near)
-    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-#: Stands for a null id.
-NO_ID = -(2**63)
+    held = lines.withColumn("h", F.xxhash64("line"))
+    found = candidates(held.select("h", "line"), max_edits)
+    ids = held.select("id", F.col("h").bitwiseAND(-2).alias("even"))
+    for x in "ab":
+        found = found.join(ids.select(F.col("even").alias(x), F.col("id").alias(f"id_{x}")), x)
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def near_lines(lines: DataFrame, max_edits: int | None = None) -> DataFrame:
+    """(line_a, line_b), once: the different lines that are within the allowed edits; ``lines`` has (line), repeats allowed."""
+    hashed = lines.withColumn("h", F.xxhash64("line"))
+    distinct = lines.distinct().withColumn("h", F.xxhash64("line"))
+    pairs = reduce(DataFrame.union, [saved(candidates(distinct, max_edits, turn, ROUNDS)) for turn in range(ROUNDS)]).distinct()
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("even")).distinct())
+    few = ids.count() <= BROADCAST_LINES
+    texts = hashed.withColumn("even", F.col("h").bitwiseAND(-2)).join(F.broadcast(ids) if few else ids, "even", "left_semi")
+    texts = saved(texts.select("even", "line").distinct())
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("even").alias(x), F.col("line").alias(f"line_{x}")), x)
+    k, _ = _band(F.least(F.length("line_a"), F.length("line_b")), max_edits)
+    close = pairs.select("line_a", "line_b", k.alias("allowed")).where("abs(length(line_a) - length(line_b)) <= allowed")
+    return close.where("levenshtein(line_a, line_b, allowed) >= 0").select("line_a", "line_b")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -113,39 +158,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("key_t", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per document with its lines in ``parts``, split once for all uses."""
-    return docs.withColumn("parts", F.explode(F.array(F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))))
+def _id(line: Column) -> list[Column]:
+    """128 bits that stand for a line: two hashes with different seeds."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
+
+
+ID = ["h1", "h2"]
 
 
 def repeated_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """key_d, key_t and, per document with any, ``exact`` and ``near``: the line numbers (from 0) to drop, and ``links``."""
-    keyed = _keyed(docs).select("text", "key_d", "key_t")
-    occurrences = keyed.select("key_d", "key_t", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.length("line") >= min_chars)
-    occurrences = occurrences.select("key_d", "key_t", "at", F.unhex(F.md5("line")).alias("id"))
-    place = F.struct("key_d", "key_t", "at")
-    # Every use needs n because of the filter, so all uses have the same plan and share one exchange.
-    firsts = occurrences.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 0")
+    every = _keyed(docs.select("doc_id", F.col("text").cast("string"))).select("key_d", "key_t", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    links = near_lines(every.where(F.length("line") >= min_chars).select("line"), max_edits)
+    ends = saved(links.select(F.explode(F.array(F.struct(F.col("line_a").alias("line"), F.col("line_b").alias("other")), F.struct(F.col("line_b").alias("line"), F.col("line_a").alias("other")))).alias("x")).select(*_id(F.col("x.line")), F.struct(*_id(F.col("x.other"))).alias("other")))
 
-    by_doc = firsts.groupBy(F.col("first.key_d").alias("key_d"), F.col("first.key_t").alias("key_t")).agg(F.collect_list(F.struct("id", F.col("first.at").alias("at"))).alias("own"))
-    own = _lines(keyed.join(by_doc, ["key_d", "key_t"])).select(F.explode(F.transform("own", lambda x: F.struct(x.id.alias("id"), F.get("parts", x.at).alias("line")))).alias("x"))
-    pairs = edit_candidates(own.select("x.id", "x.line"), max_edits)
-    for x in "ab":
-        pairs = pairs.join(firsts.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}"), F.col("first.key_d").alias(f"{x}_d"), F.col("first.key_t").alias(f"{x}_t")), x)
-    for x in "ab":
-        texts = keyed.withColumnsRenamed({"key_d": f"{x}_d", "key_t": f"{x}_t"})
-        pairs = _lines(pairs.join(texts, [f"{x}_d", f"{x}_t"])).withColumn(f"line_{x}", F.get("parts", F.col(f"first_{x}.at"))).drop("parts", "text")
-    pairs = pairs.withColumn("allowed", _allowed(F.least(F.length("line_a"), F.length("line_b")), max_edits))
-    links = pairs.where(F.expr("levenshtein(line_a, line_b, allowed) >= 0"))
-    way = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"first_{y}").alias("other"))
-    ends = links.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("end")).select("end.*")
-    linked = ends.groupBy("id").agg(F.min("other").alias("earliest"), F.count("*").alias("links"))
-
-    judged = firsts.join(linked, "id", "left").withColumn("late", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)))
-    matter = judged.where("n > 1 or links is not null").select("id", "first", "late", F.coalesce("links", F.lit(0)).alias("links"))
+    places = every.select("key_d", "key_t", "at", *_id(F.col("line")))
+    place = F.struct("key_d", "key_t", "at")
+    firsts = places.groupBy(*ID).agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    of_other = firsts.select(F.struct(*ID).alias("other"), F.col("first").alias("first_other"))
+    linked = ends.join(of_other, "other").groupBy(*ID).agg(F.min("first_other").alias("earliest"), F.count("*").alias("links"))
+    judged = firsts.join(linked, ID, "left").where("n > 1 or links is not null")
+    matter = saved(judged.select(*ID, "n", "first", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links")))
+
+    total = matter.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > F.lit(total)  # so there are fewer than HOT of them
+    salted = places.join(F.broadcast(matter.where(hot).select(*ID, F.lit(True).alias("hot"))), ID, "left")
+    salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key_d", "key_t"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
+    dealt = matter.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     exact = F.col("first") != place
     told = F.struct("at", exact.alias("exact"), (~exact & F.col("late")).alias("near"), "links")
-    found = occurrences.join(matter, "id").groupBy("key_d", "key_t").agg(F.collect_set(told).alias("told"))  # repeated rows count once
+    found = salted.join(dealt, [*ID, "salt"]).groupBy("key_d", "key_t").agg(F.collect_set(told).alias("told"))  # repeated rows count once
     which = lambda kind: F.transform(F.filter("told", lambda x: x[kind]), lambda x: x.at)
     links = F.aggregate("told", F.lit(0).cast("long"), lambda n, x: n + x.links)
     return found.select("key_d", "key_t", which("exact").alias("exact"), which("near").alias("near"), links.alias("links"))
@@ -154,13 +196,15 @@ def repeated_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int
 def dedup_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs`` with the lines dropped from text; ``lines``, ``exact``, ``near`` and ``links`` count its
     lines, those dropped as equal and as near, and the other lines that are near to one of its own."""
-    base = docs.drop("key_d", "key_t", "parts", "lines", "exact", "near", "links")
+    base = docs.drop("key_d", "key_t", "parts", "lines", "exact", "near", "links").withColumn("text", F.col("text").cast("string"))
     found = repeated_lines(docs, max_edits, min_chars)
     keyed = _keyed(base)
     doc_id = F.col("doc_id")
     if dict(base.dtypes)["doc_id"] == "bigint":  # then the key says it, and it needn't be shuffled too
         keyed, doc_id = keyed.drop("doc_id"), F.nullif("key_d", F.lit(NO_ID))
-    joined = _lines(keyed.join(found, ["key_d", "key_t"], "left"))
+    joined = keyed.join(found, ["key_d", "key_t"], "left")
+    # Split once for all uses.
+    joined = joined.withColumn("parts", F.explode(F.array(F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))))
     drop = F.concat("exact", "near")
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), drop)
     kept = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
@@ -172,33 +216,41 @@ def dedup_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int =
     )
 
 
-ORACLE_LINES = """
+#: Letters beyond ASCII, in SQL one byte each, since DuckDB counts edits of bytes.
+_LETTERS = "äöüßÄÖÜéèêëàâçñáíóúôîïûùœæÉÈÀÇÑÁÍÓÚ¿¡"
+
+#: Of the k + 1 even parts of a line one stands unchanged in any line within k edits, at most k places away.
+ORACLE_SQL = f"""
+with
   lines as (
     select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
     from documents where text is not null),
-  long_lines as (select * from lines where length(line) >= 20),
-  distinct_lines as (select line, min(doc_id * 1000000 + pos) as first from long_lines group by line),
-  -- one edit lies in one half: the other half is equal at its end of the line; d is what the other line is longer
-  longer as (select line, first, unnest([0, 1]) as d from distinct_lines),
-  halves as (
-    select a.line, b.line as other from distinct_lines a join longer b
-      on length(a.line) = length(b.line) - b.d and left(a.line, length(a.line) // 2) = left(b.line, (length(b.line) - b.d) // 2)
-    union
-    select a.line, b.line from distinct_lines a join longer b
-      on length(a.line) = length(b.line) - b.d and right(a.line, length(a.line) // 2) = right(b.line, (length(b.line) - b.d) // 2)),
-  close_lines as (select line, other from halves where line <> other and levenshtein(line, other) <= 1),
-  near_lines as (
-    select c.line, c.other, d.first as other_first from (select line, other from close_lines union select other, line from close_lines) c join distinct_lines d on d.line = c.other),
-  near_of as (select line, min(other_first) as earliest, count(*) as links from near_lines group by line),
+  distinct_lines as (
+    select line, min(doc_id * 1000000 + pos) as first, length(line) as n,
+      translate(line, '{_LETTERS}', (select string_agg(chr(cast(case when x < 10 then x else x + 1 end as integer)), '' order by x) from range(1, {len(_LETTERS) + 1}) t(x))) as plain
+    from lines where trim(line, ' ') <> '' group by line),
+  classes as (
+    select n, cast(greatest(1, least(n // {CHARS_AN_EDIT}, floor(cbrt(n + 0.5)))) as bigint) as k from (select distinct n from distinct_lines where n >= {MIN_CHARS})),
+  parts as (
+    select line, plain, first, n, k, i, n * i // (k + 1) as start, n * (i + 1) // (k + 1) - n * i // (k + 1) as size
+    from distinct_lines join classes using (n), lateral (select unnest(range(0, k + 1)) as i)),
+  probes as (
+    select d.line, d.plain, d.first, c.n as other_n, s.k, s.i, substr(d.line, s.start + m.move + 1, s.size) as piece
+    from distinct_lines d join classes c on c.n <= d.n and d.n - c.n <= c.k
+    join (select distinct n, k, i, start, size from parts) s on s.n = c.n,
+      lateral (select unnest(range(-s.k, s.k + 1)) as move) m
+    where d.n >= {MIN_CHARS} and s.start + m.move >= 0 and s.start + m.move + s.size <= d.n),
+  near_pairs as (
+    select distinct p.line as a, q.line as b, p.first as a_first, q.first as b_first
+    from parts p join probes q on q.other_n = p.n and q.i = p.i and q.piece = substr(p.line, p.start + 1, p.size)
+    where p.line <> q.line and levenshtein(p.plain, q.plain) <= p.k),
+  ends as (select a as line, b as other, b_first as other_first from near_pairs union select b, a, a_first from near_pairs),
+  near_of as (select line, min(other_first) as earliest, count(*) as links from ends group by line),
   judged as (
     select l.doc_id, l.pos, l.line, coalesce(n.links, 0) as links,
-      length(l.line) >= 20 and l.doc_id * 1000000 + l.pos > d.first as exact,
-      length(l.line) >= 20 and l.doc_id * 1000000 + l.pos = d.first and coalesce(n.earliest < d.first, false) as near
-    from lines l left join distinct_lines d on d.line = l.line left join near_of n on n.line = l.line)
-"""
-
-ORACLE_SQL = f"""
-with {ORACLE_LINES},
+      coalesce(l.doc_id * 1000000 + l.pos > d.first, false) as exact,
+      coalesce(l.doc_id * 1000000 + l.pos = d.first and n.earliest < d.first, false) as near
+    from lines l left join distinct_lines d on d.line = l.line left join near_of n on n.line = l.line),
   by_doc as (
     select doc_id, count(*) as lines, count(*) filter (exact) as exact, count(*) filter (near) as near, sum(links) as links,
       coalesce(string_agg(line, chr(10) order by pos) filter (not exact and not near), '') as kept

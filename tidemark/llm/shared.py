@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and read from there, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
+#: Lets Spark delete the shuffle files of a query when it ends, not when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset, as in tests, a
-    temporary one of this machine is set.
-    """
+
+def saved(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read from there, so that a lost executor costs no recomputation."""
     spark = SparkSession.getActiveSession() or df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+        context.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a new frame, since the setting is read when a frame is made
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``used`` under neutral names, and the names to give back with ``withColumnsRenamed``."""
+    others = {c: f"caller_{n}" for n, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(others), {v: k for k, v in others.items()}
