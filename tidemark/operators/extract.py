@@ -42,7 +42,7 @@ def extract_mentions(chunks: DataFrame) -> DataFrame:
     near = parts.withColumn("nth", F.row_number().over(inside)).withColumn("chars", chars).where((F.col("nth") <= CONTEXT_SEGMENTS + 1) & ((F.col("nth") == 1) | (F.col("chars") <= CONTEXT_CHARS)))
     blocks = near.groupBy("doc_id", "ordinal", "mention").agg(F.array_sort(F.collect_list(F.struct("nth", "segment", "kind"))).alias("block"))
     blocks = blocks.select("doc_id", "ordinal", "mention", F.col("block")[0]["kind"].alias("kind"), F.col("block")[0]["segment"].alias("anchor"), F.array_join(F.transform("block", lambda b: b.segment), " ").alias("text"), F.transform("block", lambda b: b.segment).alias("segments"))
-    found = blocks.where(~wording.is_negated(F.col("anchor")) & ~F.rtrim(F.col("anchor")).endswith("?") & ~F.col("anchor").rlike(wording.CONDITION))
+    found = blocks.where(~wording.is_negated(F.col("anchor")) & ~F.rtrim(F.col("anchor")).endswith("?") & ~wording.is_conditional(F.col("anchor")))
     spans = times.temporal_spans(F.col("text"))
     first = F.get(times.temporal_spans(F.col("anchor")), F.lit(0))
     before = F.when(first.isNotNull(), F.expr("substring(anchor, 1, locate(get(spans_of_anchor, 0), anchor) - 1)")).otherwise(F.col("anchor"))

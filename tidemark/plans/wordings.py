@@ -205,7 +205,7 @@ QUERIES = [
     extract_structured, claim_groups, successor_claims, project_events, claim_states, expired_decisions, event_list, event_review, event_detail,
 ]
 
-_TYPE = "case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in wording.EVENT_TYPES.items()) + " end"
+_TYPE = "case " + " ".join(f"when regexp_matches(lower(text), '\\b(?:{'|'.join(words)})\\b') then '{name}'" for name, words in wording.TYPE_WORDS.items()) + " end"
 
 ORACLE = {
     "title_identity": f"""with {ANNOUNCEMENTS},
