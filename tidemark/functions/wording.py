@@ -34,7 +34,8 @@ ROLES = {
     "T": ["the"],
     "O": list(ORDINALS),
     "P": ["term"],
-    "E": [w for t, words in TYPE_WORDS.items() if t != "project_milestone" for w in words],
+    "E": [w for t, words in TYPE_WORDS.items() if t not in ("project_milestone", "submission") for w in words],
+    "B": ["submission"],
     "H": ["#"],
     "V": ["venue", "location", "room"],
     "D": ["date", "time", "schedule", "session"],
@@ -63,7 +64,7 @@ ROLES = {
 _ROLE_OF = {word: role for role, words in ROLES.items() for word in words}
 
 #: Statements in letters of roles: a subject, what of it changes, forms of to be, the change.
-_SUBJECT = "^T?O?P?E(?:H?N)?"
+_SUBJECT = "^T?O?P?[EB](?:H?N)?"
 _BE = "(?:G*A)?"
 _STATEMENTS = {
     "CANCELLATION": f"{_SUBJECT}{_BE}C",
@@ -136,7 +137,7 @@ def title_words(c: Column) -> Column:
 def title_identity(c: Column) -> Column:
     """What makes two titles the same event: event word and number, else all words."""
     words = title_words(c)
-    nouns = [w for w in ROLES["E"] if w not in ("examination", "tutorials", "laboratory", "midterm")]
+    nouns = [w for w in ROLES["E"] + ROLES["B"] if w not in ("examination", "tutorials", "laboratory", "midterm")]
     number = F.get(F.filter(words, lambda w: w.rlike("^[0-9]+$")), F.lit(0))
     noun = F.get(F.filter(words, lambda w: _in(w, nouns)), F.lit(0))
     named = F.concat_ws(" ", F.when(noun == "homework", "assignment").otherwise(noun), number)
@@ -168,7 +169,7 @@ def location(c: Column) -> Column:
 
 
 def is_negated(c: Column) -> Column:
-    return _roles(c).rlike("nA?(?:h|S|d|kp)|zP?E")
+    return _roles(c).rlike("nA?(?:h|S|d|kp)|zE")
 
 
 def due_marker(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokens
+from tidemark.operators.search import small
 
 #: Confidence of a phrase by where it stands.
 SIGNALS = {"title": 0.82, "filename": 0.72, "ancestors": 0.62, "headings": 0.58}
@@ -20,7 +21,7 @@ def classify(df: DataFrame, rules: DataFrame, key: str = "resource_key") -> Data
     told = F.array(*(F.struct(F.lit(s).alias("signal"), F.lit(v).alias("value"), F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(F.col(s), F.lit(""))), " "), F.lit(" ")).alias("words")) for s, v in SIGNALS.items() if s in df.columns))
     signals = df.select(key, F.explode(told).alias("x")).select(key, "x.*")
     hit = F.col("words").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
-    hits = signals.join(F.broadcast(rules), hit)  # a short, fixed list of rules
+    hits = signals.join(small(rules), hit)
     grouped = hits.groupBy(key, "label").agg(
         F.least(F.lit(MOST), F.max("value") + STEP * (F.count("*") - 1)).alias("confidence"),
         F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "signal", "phrase"))), ",").alias("evidence"),

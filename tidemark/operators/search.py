@@ -22,14 +22,32 @@ def search_documents(branches: list[DataFrame]) -> DataFrame:
     return out
 
 
-def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """key, term, tf (weighted over the fields) and length (words of all fields): one shuffle-free explode, one aggregation."""
+#: Up to so many rows a frame of queries, terms or rules is broadcast; beyond that it is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """The terms of all queries, once each."""
+    return queries.select(F.explode("terms").alias("term")).distinct()
+
+
+def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id", wanted: DataFrame | None = None) -> DataFrame:
+    """key, term, tf (weighted over the fields) and length (words of all fields): one shuffle-free explode, one aggregation.
+
+    With ``wanted`` (term) only these terms, before anything is shuffled.
+    """
     def weighted(field: str, weight: float) -> Column:
         return F.transform(tokens(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
     words = [weighted(field, weight) for field, weight in fields.items()]
-    rows = docs.select(key, F.concat(*words).alias("words")).select(key, F.size("words").alias("length"), F.explode("words").alias("x"))
-    return rows.groupBy(key, "length", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    rows = docs.select(key, F.concat(*words).alias("words")).select(key, F.size("words").alias("length"), F.explode("words").alias("x")).select(key, "length", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
+    rows = rows.join(small(wanted), "term", "left_semi") if wanted is not None else rows
+    return rows.groupBy(key, "length", "term").agg(F.sum("w").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -69,7 +87,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, rank: the largest dot products; ``queries`` (query_id, query) is a stated, small set."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", dot(F.col("embedding"), F.col("query")).alias("score"))
+    scored = vectors.crossJoin(small(queries)).select("query_id", "vec_id", dot(F.col("embedding"), F.col("query")).alias("score"))
     return top(scored, [F.desc(F.round("score", 6)), F.asc("vec_id")], k)
 
 

@@ -73,14 +73,15 @@ def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's first three words ask for documents."""
+    """Each benchmark item asks for documents with its whole text; items beyond the limits of a query are rejected."""
     items = table(spark, sf_dir, "benchmark")
-    return search.query_terms(items.select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^\S+ \S+ \S+", 0).alias("query")))
+    return search.query_terms(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 def _bm25(spark: SparkSession, sf_dir: str, mode: str, queries: DataFrame) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return search.bm25(search.postings(docs, FIELDS), search.corpus_stats(docs, list(FIELDS)), queries, mode)
+    wanted = search.asked_terms(queries)
+    return search.bm25(search.postings(docs, FIELDS, wanted=wanted), search.corpus_stats(docs, list(FIELDS)), queries, mode)
 
 
 def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,7 @@ def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, "any", _queries(spark, sf_dir).where("query_id = 3")).select("doc_id", (F.round("rank_score", 6) + 0.0).alias("rank_score"))
+    return _bm25(spark, sf_dir, "any", _queries(spark, sf_dir)).select("query_id", "doc_id", (F.round("rank_score", 6) + 0.0).alias("rank_score"))
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +113,10 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = _queries(spark, sf_dir).where("query_id < 5")
-    scored = _bm25(spark, sf_dir, "any", queries).withColumn("rank_score", F.round("rank_score", 6))
+    scored = _bm25(spark, sf_dir, "any", _queries(spark, sf_dir)).withColumn("rank_score", F.round("rank_score", 6))
     lexical = search.top(scored, [F.asc("rank_score"), F.asc("doc_id")], search.DEPTH)
     dense = search.dense_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _vector_queries(spark, sf_dir), search.DEPTH)
-    fused = search.rrf([lexical, dense.select("query_id", F.col("vec_id").alias("doc_id"), "rank").where("query_id < 5")])
+    fused = search.rrf([lexical, dense.select("query_id", F.col("vec_id").alias("doc_id"), "rank")])
     return fused.select("query_id", "doc_id", F.round("rank_score", 6).alias("rank_score"), "rank")
 
 
@@ -133,7 +133,7 @@ RULES = [("weather", "the"), ("weather", "that"), ("law", "of the"), ("law", "of
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     line = lambda n: F.coalesce(F.get(F.split("text", "\n"), F.lit(n)), F.lit(""))
-    df = docs.select(F.col("doc_id").alias("resource_key"), F.substring(line(0), 1, 40).alias("title"), F.concat_ws(" ", "source", "lang").alias("filename"), F.substring(line(1), 1, 60).alias("headings"))
+    df = docs.select(F.col("doc_id").alias("resource_key"), line(0).alias("title"), F.concat_ws(" ", "source", "lang").alias("filename"), line(1).alias("headings"))
     found = classify.classify(df, spark.createDataFrame(RULES, "label string, phrase string"))
     return found.select("resource_key", "label", F.round("confidence", 4).alias("confidence"), "rank", "evidence")
 
@@ -202,8 +202,8 @@ _POSTINGS = f"""
 
 _SCORED = f"""{_POSTINGS},
   asked as (
-    select item_id as query_id, list_distinct({words("regexp_extract(text, '^[^ \\t\\n\\r]+ [^ \\t\\n\\r]+ [^ \\t\\n\\r]+')")}) as terms from benchmark
-    where len(list_distinct({words("regexp_extract(text, '^[^ \\t\\n\\r]+ [^ \\t\\n\\r]+ [^ \\t\\n\\r]+')")})) between 1 and 64),
+    select item_id as query_id, list_distinct({words("text")}) as terms from benchmark
+    where len(list_distinct({words("text")})) between 1 and 64 and length(text) <= 1000),
   wanted as (select query_id, len(terms) as wanted, unnest(terms) as term from asked),
   often as (select term, count(*) as n from postings group by 1),
   st as (select count(*) as docs, avg(length) as mean_length from sizes),
@@ -238,18 +238,18 @@ select doc_id, reasons, reasons = '' as ok from r""",
     "list_page": """with n as (select c_custkey, c_name, c_mktsegment, row_number() over (order by c_mktsegment, c_name, c_custkey) as position, count(*) over () > 75 as truncated from customer where c_acctbal > 0) select * from n where position > 50 and position <= 75""",
     "next_page": """with n as (select o_custkey, o_orderkey, o_totalprice, row_number() over (order by o_custkey, o_orderkey) as position, count(*) over () > 40 as truncated from orders where (o_custkey, o_orderkey) > (100, 0)) select * from n where position <= 40""",
     "corpus_terms": f"with {_POSTINGS} select term, count(*) as documents, cast(sum(tf) as bigint) as weight from postings group by 1",
-    "bm25_any": f"with {_SCORED} select doc_id, rank_score from scored where query_id = 3",
+    "bm25_any": f"with {_SCORED} select query_id, doc_id, rank_score from scored",
     "bm25_all": f"with {_SCORED} select query_id, doc_id, rank_score from scored where matched = wanted",
     "search_batch": f"with {_SCORED} select query_id, doc_id, rank_score, row_number() over (partition by query_id order by rank_score, doc_id) as rank from scored qualify rank <= 10",
     "dense_topk": f"with {_DENSE} select query_id, vec_id, round(score, 4) as score, rank from dense where rank <= 20",
     "rrf_hybrid": f"""with {_SCORED}, {_DENSE},
-  lexical as (select query_id, doc_id, row_number() over (partition by query_id order by rank_score, doc_id) as rank from scored where query_id < 5 qualify rank <= 100),
-  ranks as (select query_id, doc_id, rank from lexical union all select query_id, vec_id, rank from dense where rank <= 100 and query_id < 5),
+  lexical as (select query_id, doc_id, row_number() over (partition by query_id order by rank_score, doc_id) as rank from scored qualify rank <= 100),
+  ranks as (select query_id, doc_id, rank from lexical union all select query_id, vec_id, rank from dense where rank <= 100),
   fused as (select query_id, doc_id, -sum(1.0::double / (60 + rank)) as s from ranks group by all)
 select query_id, doc_id, round(s, 6) as rank_score, row_number() over (partition by query_id order by round(s, 9), doc_id) as rank from fused qualify rank <= 100""",
     "pending_embeddings": "select doc_id, sha256(concat_ws('. ', source, text)) as text_hash from documents where doc_id % 4 = 0 or doc_id % 10 = 1",
     "classify_rules": f"""with rules(label, phrase) as (values {", ".join(str(r) for r in RULES)}),
-  s as (select doc_id as resource_key, left(coalesce(string_split(text, chr(10))[1], ''), 40) as title, concat_ws(' ', source, lang) as filename, left(coalesce(string_split(text, chr(10))[2], ''), 60) as headings from documents),
+  s as (select doc_id as resource_key, coalesce(string_split(text, chr(10))[1], '') as title, concat_ws(' ', source, lang) as filename, coalesce(string_split(text, chr(10))[2], '') as headings from documents),
   signals as (
     select resource_key, 'title' as signal, 0.82 as value, ' ' || array_to_string({words('title')}, ' ') || ' ' as words from s
     union all select resource_key, 'filename', 0.72, ' ' || array_to_string({words('filename')}, ' ') || ' ' from s
