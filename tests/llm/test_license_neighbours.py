@@ -47,4 +47,4 @@ def test_neighbours_are_told_apart(said, names):
 def test_every_template_is_found_as_itself():
     for name, text in license.TEMPLATES.items():
         assert [(x[0], x[1]) for x in license.scan(text)] == [(name, 1.0)]
-    assert all(license.SEEDS.intersection(template) for _, template, _, _ in license._PREPARED)
+    assert all(set(license._seeds(template, places, license.COVERAGE)) <= set(template) and license._seeds(template, places, license.COVERAGE) for _, template, places, _ in license._PREPARED)

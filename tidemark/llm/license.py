@@ -1,7 +1,9 @@
 """License texts in documents, found by patience alignment with templates.
 
-Where a document has a word that only license texts use much, the surroundings are aligned
-with each template that has it: words that occur once in both are anchors, the longest
+An index holds, for each template, words that no copy of it can lack: the rarest of those that
+tell it from its neighbours or, without such, so many of its rarest that lacking all would leave
+too little of it.  Where a document has one, the surroundings are aligned
+with the template: words that occur once in both are anchors, the longest
 increasing subsequence of them is kept, and the gaps between are aligned in the same way.
 A template is found where enough of its words are aligned close together, and the words that
 tell it from its neighbours (name, version, NC, SA, ND) stand in one run, with none between.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,15 +52,15 @@ _CC_PLACES = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0"
 
 #: The runs of words that tell a template from its neighbours; a template that isn't here is told by its length.
 RUNS = {
-    "mit-notice": ["MIT License"],
+    "mit-notice": ["MIT"],
     "apache-2.0-notice": ["Apache License, Version 2.0"],
     "apache-2.0-header": ["Apache License, Version 2.0"],
     "gpl-3.0-notice": ["GNU General Public License, version 3"],
     "cc-by-nc-4.0-notice": ["CC BY-NC 4.0"],
     "cc-by-4.0-notice": ["Creative Commons Attribution 4.0"],
     "cc-by-sa-4.0-notice": ["Creative Commons Attribution-ShareAlike 4.0"],
-    "mit": ["permission notice shall be included"],
-    "isc": ["permission notice appear"],
+    "mit": ["shall be included in all copies"],
+    "isc": ["appear in all copies"],
     "gpl-3.0-header": ["GNU General Public License as", "version 3 of"],
     "mpl-2.0-header": ["Mozilla Public License, v. 2.0"],
 }
@@ -94,19 +97,15 @@ def _more() -> list[tuple[str, str, list[str]]]:
                 named += [(id_, f"a Creative Commons Attribution {spelled} {v} {x}") for x in (f"{place} License", "License", "")]
             named.append((id_, f"CC BY{short} {v}"))
     for id_, name in named:
-        run = name.removeprefix("the ").removeprefix("a ")
+        run = name.removeprefix("the ").removeprefix("a ").removesuffix(" License")
         for start in ("Licensed under", "Released under", "This work is licensed under"):
             found.append((f"{id_}-notice", f"{start} {name}", [run]))
     return found
 
 
-#: Every template has one of these words.
-SEEDS = frozenset("license licensed licenses licence licenced permission redistribution redistributions unlicense released unencumbered".split())
-
 _WORD = re.compile(r"\w+")
 #: Only a version that is longer by zeros is the same one: 3.0 is 3, 2.1 isn't 2.
 _OTHER_VERSION = re.compile(r"\.0*[1-9]")
-_SEED = r"(?i)licen[cs]e|permission|redistribution|released|unencumbered"
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -166,8 +165,14 @@ def _densest(aligned: list[tuple[int, int]], length: int) -> list[tuple[int, int
     return aligned[best[0] : best[1]]
 
 
+def _spelled(word: str) -> str:
+    """In lower case; the British licence is the same word."""
+    word = word.lower()
+    return "licens" + word[6:] if word.startswith("licenc") else word
+
+
 def _words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return [_spelled(w) for w in _WORD.findall(text)]
 
 
 def _place(run: list[str], template: list[str]) -> range:
@@ -186,6 +191,31 @@ def _prepared() -> list[tuple[str, list[str], list[range], frozenset[str]]]:
 
 
 _PREPARED = _prepared()
+_TEMPLATES_WITH = Counter(word for _, template, _, _ in _PREPARED for word in set(template))
+
+
+def _seeds(template: list[str], places: list[range], coverage: float) -> list[str]:
+    """Words one of which every copy has: of the first run the rarest, else the rarest that make up more than a copy may lack."""
+    rare = lambda words: sorted(set(words), key=lambda w: (template.count(w), _TEMPLATES_WITH[w], -len(w), w))
+    if places:
+        return rare(template[p] for p in places[0])[:1]
+    chosen, without = [], 0
+    for word in rare(template):
+        if len(template) - without < coverage * len(template):
+            break
+        chosen.append(word)
+        without += template.count(word)
+    return chosen
+
+
+@cache
+def _index(coverage: float) -> dict[str, list[int]]:
+    """The templates (numbers) that each seed word stands for."""
+    out: dict[str, list[int]] = {}
+    for n, (_, template, places, _) in enumerate(_PREPARED):
+        for word in _seeds(template, places, coverage):
+            out.setdefault(word, []).append(n)
+    return out
 
 
 def _told(aligned: list[tuple[int, int]], places: list[range], ends: list[int], text: str) -> bool:
@@ -201,19 +231,23 @@ def _told(aligned: list[tuple[int, int]], places: list[range], ends: list[int],
 def scan(text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first and last character + 1) of every license text."""
     spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in spans]
+    words = [_spelled(text[a:b]) for a, b in spans]
     ends = [b for _, b in spans]
-    seeds = [(i, w) for i, w in enumerate(words) if w in SEEDS]
+    index = _index(coverage)
+    seeds: dict[int, list[tuple[int, str]]] = {}
+    for i, word in enumerate(words):
+        for n in index.get(word, ()):
+            seeds.setdefault(n, []).append((i, word))
     known = set(words) if seeds else set()
     found = []
-    for name, template, places, telling in _PREPARED:
+    for n, places_of in sorted(seeds.items()):
+        name, template, places, telling = _PREPARED[n]
         if not telling <= known:
             continue
         done = 0
-        for seed, word in seeds:
-            if seed < done or word not in template:
+        for seed, at in ((i, p) for i, word in places_of for p, w in enumerate(template) if w == word):
+            if seed < done:
                 continue
-            at = template.index(word)
             for slack in (len(template), SLACK, 1):  # narrower where a copy stands so near that its words aren't unique
                 first = max(0, seed - at - slack, done)
                 got = _densest(align(words[first : seed - at + len(template) + slack], template), len(template) + SLACK)
@@ -237,5 +271,6 @@ def licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
             rows = [(i, *x) for i, text in zip(part["doc_id"], part["text"]) for x in scan(text, coverage)]
             yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start", "end"]).astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").rlike(_SEED))
+    seeds = "|".join(re.escape(w).replace("licens", "licen[sc]") for w in sorted(_index(coverage)))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").rlike(rf"(?iU)\b(?:{seeds})\b"))
     return rows.mapInPandas(run, "doc_id long, license string, coverage double, start long, end long")
