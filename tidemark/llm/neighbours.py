@@ -24,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import saved
@@ -145,6 +145,12 @@ def _best(query: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray,
     return out
 
 
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank; Spark keeps only k of a query in each task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _calibrate(indexed: DataFrame, tree: Tree, k: int, recall: float, queries: int, seed: int) -> int:
     """The number of leaves to visit so that ``recall`` of the exact neighbours of some vectors are met."""
     chosen = indexed.orderBy(F.xxhash64(F.lit(seed + 1), "vec_id"), "vec_id").limit(queries).select("vec_id", "vector").toPandas()
@@ -159,12 +165,12 @@ def _calibrate(indexed: DataFrame, tree: Tree, k: int, recall: float, queries: i
             yield pd.DataFrame([(*b, leaf[b[1]]) for b in best], columns=["query_id", "vec_id", "score", "leaf"])
 
     exact = indexed.select("vec_id", "vector", "leaf").mapInPandas(search, FOUND + ", leaf long")
-    nearest = exact.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "leaf"))).alias("x")).select("query_id", F.slice("x", 1, k).alias("x")).toPandas()
+    nearest = _first(exact, k).groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).toPandas()  # k leaves each
     place = []
     of = {int(i): p for i, p in zip(ids, points)}
-    for query, found in zip(nearest["query_id"], nearest["x"]):
+    for query, found in zip(nearest["query_id"], nearest["leaves"]):
         order = {leaf: n for n, leaf in enumerate(visits(tree, of[query], len(tree.leaf)))}
-        place += [order[f["leaf"]] + 1 for f in found]
+        place += [order[leaf] + 1 for leaf in found]
     return int(np.quantile(place, recall, method="higher")) if place else 1
 
 
@@ -210,5 +216,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     met = asked.groupBy("leaf", "block", "turn").cogroup(held.groupBy("leaf", "block", "turn")).applyInPandas(search, FOUND)
-    best = met.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    return _first(met, k).select("query_id", "rank", "vec_id", "score")

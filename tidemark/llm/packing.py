@@ -187,7 +187,8 @@ def pack(pieces: DataFrame, documents: int, window: int = WINDOW, documents_per_
         pdf = pdf.iloc[order]
         return pdf.assign(sequence_id=(int(key[0]) << 32) + of[order], offset=starts - base).drop(columns="shard")
 
-    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))
+    # The row number spreads pieces that are equal in all they say, as those of repeated rows.
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards))
     return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(place, PACKED)
 
 
