@@ -242,7 +242,7 @@ def scan(text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, i
     found = []
     for n, places_of in sorted(seeds.items()):
         name, template, places, telling = _PREPARED[n]
-        if not telling <= known:
+        if not telling <= known or sum(map(known.__contains__, template)) < coverage * len(template):
             continue
         done = 0
         for seed, at in ((i, p) for i, word in places_of for p, w in enumerate(template) if w == word):
