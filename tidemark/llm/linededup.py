@@ -40,6 +40,8 @@ BROADCAST_LINES = 500_000
 HOT, SALTS = 500, 64
 #: Letters whose counts, beside the length, are compared before a candidate is emitted; each has so many bits.
 COUNTED, COUNT_BITS = "enai", 11
+#: Further letters whose counts are compared before a candidate is verified, as many in each group as fit into one long.
+MORE_COUNTED = ("trosl", "dcump", "ghvfb", "wyzkj")
 #: Segments are joined in so many rounds, one after the other, so that the keys of one only lie on disk at a time.
 ROUNDS = 2
 #: Stands for a null id.
@@ -76,12 +78,30 @@ def _ring(n: Column) -> Column:
     return F.get(F.lit(codes), n % (2 * COUNT_BITS)).cast("long")
 
 
+def _count(line: Column, letter: str) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+
+
+def _codes(first: Column, counts: list[Column]) -> Column:
+    """``first`` and the codes of the counts, side by side in one long."""
+    return reduce(lambda out, n: F.shiftleft(out, COUNT_BITS).bitwiseOR(_ring(n)), counts, first.cast("long"))
+
+
 def _profile(line: Column, k: Column) -> Column:
     """k and the codes of the length and of the counted letters; an edit changes at most two of these counts by one."""
-    out = k.cast("long")
-    for n in (F.length(line), *(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit(""))) for letter in COUNTED)):
-        out = F.shiftleft(out, COUNT_BITS).bitwiseOR(_ring(n))
-    return out
+    return _codes(k, [F.length(line), *(_count(line, letter) for letter in COUNTED)])
+
+
+def _bags(line: Column) -> list[Column]:
+    """The codes of the length and of all counted letters, in several longs."""
+    groups = [[F.length(line), *(_count(line, letter) for letter in COUNTED)]]
+    groups += [[_count(line, letter) for letter in group] for group in MORE_COUNTED]
+    return [_codes(F.lit(0), counts).alias(f"bag{n}") for n, counts in enumerate(groups)]
+
+
+def _bag_gap() -> Column:
+    """By how many steps the bags of two lines differ at least: no more than two for each edit."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"bag{n}_a").bitwiseXOR(F.col(f"bag{n}_b"))) for n in range(len(MORE_COUNTED) + 1)))
 
 
 def _keys(lines: DataFrame, max_edits: int | None, turn: int = 0, rounds: int = 1) -> DataFrame:
@@ -145,11 +165,12 @@ def near_lines(lines: DataFrame, max_edits: int | None = None) -> DataFrame:
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("even")).distinct())
     few = ids.count() <= BROADCAST_LINES
     texts = hashed.withColumn("even", F.col("h").bitwiseAND(-2)).join(F.broadcast(ids) if few else ids, "even", "left_semi")
-    texts = saved(texts.select("even", "line").distinct())
+    texts = texts.select("even", "line").distinct().select("even", F.length("line").alias("length"), *_bags(F.col("line")), "line")
+    texts = saved(texts)
     for x in "ab":
-        pairs = pairs.join(texts.select(F.col("even").alias(x), F.col("line").alias(f"line_{x}")), x)
-    k, _ = _band(F.least(F.length("line_a"), F.length("line_b")), max_edits)
-    close = pairs.select("line_a", "line_b", k.alias("allowed")).where("abs(length(line_a) - length(line_b)) <= allowed")
+        pairs = pairs.join(texts.select(F.col("even").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in texts.columns if c != "even")), x)
+    k, _ = _band(F.least("length_a", "length_b"), max_edits)
+    close = pairs.withColumn("allowed", k).where((F.abs(F.col("length_a") - F.col("length_b")) <= F.col("allowed")) & (_bag_gap() <= 2 * F.col("allowed")))
     return close.where("levenshtein(line_a, line_b, allowed) >= 0").select("line_a", "line_b")
 
 
