@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import latest, search
+from tidemark.operators import changes, latest, search, status
 
 
 def ingest(stream: DataFrame, delay: str, key: tuple[str, ...] = ("resource_key", "run_key", "fingerprint")) -> DataFrame:
@@ -53,3 +53,33 @@ def refresh_index(path: str, documents: Callable[[], DataFrame], build: Callable
         index.write.mode("overwrite").parquet(f"{path}/{batch_id}")
 
     return sink
+
+
+def inventory_runs(path: str, known: Callable[[], DataFrame], seen: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that writes what finished runs (see ``changes.inventory``) omitted; runs come in the order of their time.
+
+    Omissions of earlier batches count for removal candidates. Each batch has a partition of its own under ``path``, so one
+    that is run again gives the same.
+    """
+
+    def sink(runs: DataFrame, batch_id: int) -> None:
+        spark = runs.sparkSession
+        if batch_id:
+            written = spark.read.parquet(*(f"{path}/{n}" for n in range(batch_id)))
+            earlier = written.where("observation_status = 'NOT_OBSERVED'").select("run_key", "resource_key", "run_at")
+        else:
+            earlier = runs.join(seen().select("run_key", "resource_key"), "run_key").select("run_key", "resource_key", "run_at").limit(0)
+        changes.inventory(runs, known(), seen(), earlier).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+
+    return sink
+
+
+def freshness_ticks(path: str, attempts: Callable[[], DataFrame], max_age_s: int, keys: tuple[str, ...] = ("scope",)) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink on a stream of ticks (now): the freshness of every scope at the last tick of the batch."""
+
+    def sink(ticks: DataFrame, batch_id: int) -> None:
+        now = ticks.agg(F.max("now")).first()[0]
+        if now is not None:
+            status.freshness(status.fold_scopes(attempts(), keys), F.lit(now), max_age_s).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+
+    return sink
