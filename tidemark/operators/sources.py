@@ -58,6 +58,19 @@ def active_claims(claims: DataFrame, active: DataFrame, decisions: DataFrame) ->
     return claims.join(keys, ["claim_key", "origin"], "left_semi")
 
 
+def list_claims(claims: DataFrame, active: DataFrame, decisions: DataFrame) -> DataFrame:
+    """All claims with ``active``: whether they count."""
+    counting = active_claims(claims, active, decisions).select("claim_key", "origin").distinct().withColumn("found", F.lit(True))
+    return claims.join(counting, ["claim_key", "origin"], "left").select(*claims.columns, F.coalesce("found", F.lit(False)).alias("active"))
+
+
+def list_records(rows: DataFrame, key: str, courses: DataFrame | None = None, runs: DataFrame | None = None) -> tuple[DataFrame, list[Column]]:
+    """Sources, claims, conflicts or decisions of courses (course_key) or runs (run_key), and their order."""
+    for by, wanted in (("course_key", courses), ("run_key", runs)):
+        rows = rows.join(wanted, by, "left_semi") if wanted is not None else rows
+    return rows, [F.asc(key)]
+
+
 def event_confidence(claims: DataFrame) -> DataFrame:
     """event_id, confidence (mean), sources (distinct), over active claims; ``claims``: event_id, source_key, confidence."""
     per = claims.groupBy("event_id", "source_key").agg(F.sum("confidence").alias("total"), F.count("confidence").alias("n"))

@@ -150,6 +150,18 @@ def active_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.active_claims(claims, active, decisions)
 
 
+def list_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active, claims, decisions = _activity(spark, sf_dir)
+    return sources.list_claims(claims, active, decisions)
+
+
+def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = active_sources(spark, sf_dir).withColumnRenamed("candidate_key", "course_key")
+    courses = table(spark, sf_dir, "customer").where("c_mktsegment = 'FURNITURE'").select(F.col("c_custkey").alias("course_key"))
+    found, order = sources.list_records(rows, "source_key", courses)
+    return page(found, order, 200)
+
+
 def event_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("event_id"), F.col("l_suppkey").alias("source_key"), (F.col("l_quantity") / 50).alias("confidence"))
     return sources.event_confidence(claims).withColumn("confidence", F.round("confidence", 6))
@@ -207,7 +219,7 @@ def denormalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     list_announcements, list_assessments, select_courses, mark_assessment_content, filtered_hits, search_full, hit_events, text_coverage, query_scopes,
-    event_scopes, time_coverage, observation_owner, work_owner, active_sources, active_claims, event_confidence, source_context, changed_courses,
+    event_scopes, time_coverage, observation_owner, work_owner, active_sources, active_claims, list_claims, list_sources, event_confidence, source_context, changed_courses,
     unresolved_events, run_counts, semantic_values, record_values, denormalised,
 ]
 
@@ -255,6 +267,11 @@ from orders left join customer on o_orderkey % 3 = 1 and c_custkey = o_custkey l
     "active_claims": f"""with {_ACTIVITY}
 select distinct claim_key, source_key, origin from lines
 where origin = 'SOURCE' and (source_key in (select source_key from judged where active) or claim_key in (select claim_key from picks)) or claim_key in (select claim_key from locals)""",
+    "list_claims": f"""with {_ACTIVITY}
+select distinct claim_key, source_key, origin, (origin = 'SOURCE' and (source_key in (select source_key from judged where active) or claim_key in (select claim_key from picks))) or claim_key in (select claim_key from locals) as active from lines""",
+    "list_sources": f"""with {_ACTIVITY}
+select source_key, candidate_key as course_key, active, row_number() over (order by source_key) as position, count(*) over () > 200 as truncated
+from judged where candidate_key in (select c_custkey from customer where c_mktsegment = 'FURNITURE') qualify position <= 200""",
     "event_confidence": "select l_partkey as event_id, round(avg(l_quantity / 50), 6) as confidence, count(distinct l_suppkey) as sources from lineitem group by 1",
     "source_context": """with c as (select l_orderkey, min(l_partkey) as content from lineitem group by 1)
 select o_orderkey as source_key, array_to_string(list_sort(list_filter(case o_orderkey % 3
