@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, language, license, linededup, media, mixing, neardup, neighbours, packing, quality, toxicity
+from tidemark.llm import codes, html, language, license, linededup, media, mixing, neardup, neighbours, packing, quality, resample, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,13 +64,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("judged")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_bagminhash, op3_html, op4_license, op5_media, op6_language, op7_linededup, op8_mixing, op9_toxicity, op10_packing, op13_quality)}
+    return {f.__name__: f for f in (op1_neighbours, op2_bagminhash, op3_html, op4_license, op5_media, op6_language, op7_linededup, op8_mixing, op9_toxicity, op10_packing, op11_resample, op12_codes, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_linededup": linededup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op13_quality": quality.ORACLE_SQL}
+    return {"op7_linededup": linededup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op11_resample": resample.ORACLE_SQL, "op12_codes": codes.ORACLE_SQL, "op13_quality": quality.ORACLE_SQL}
