@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import answers, library, state, textual, wordings
+from tidemark.plans import answers, library, matching, state, textual, wordings
 
-MODULES = (state, textual, wordings, library, answers)
+MODULES = (state, textual, wordings, library, answers, matching)
 
 
 def queries() -> dict:
