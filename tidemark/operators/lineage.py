@@ -1,10 +1,11 @@
-"""Cutting the lineage of frames that are built in rounds."""
+"""Cutting the lineage of frames that are built in rounds, and computing columns once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """With columns that are computed once for all their uses: Spark doesn't merge projections across a generator."""
+    one = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("_once")
+    return df.select("*", one).select(*(c for c in df.columns if c not in columns), *(F.col(f"_once.{name}").alias(name) for name in columns))

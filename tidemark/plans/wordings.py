@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import times, wording
 from tidemark.operators import events, extract, reconcile
+from tidemark.operators.lineage import once
 from tidemark.plans.bindings import table
 
 KINDS = ["Assignment", "Homework", "Quiz", "Term test", "Exam", "Presentation", "Tutorial", "Lab", "Lecture", "Project milestone", "Submission", "Picnic"]
@@ -56,7 +57,7 @@ def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = times.temporal_value(F.get(times.temporal_spans(F.col("text")), F.lit(0)))
+    value = times.temporal_value(F.col("text"))
     return announcements(spark, sf_dir).select("key", value["instant"].alias("instant"), value["precision"].alias("precision"))
 
 
@@ -87,7 +88,11 @@ def temporal_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract.extract_documents(announcements(spark, sf_dir).select(F.col("key").alias("doc_id"), F.lit(0).alias("ordinal"), "text"))
-    return found.select("doc_id", "mention", "kind", "change", "title", F.size("times").alias("times"), "location", "due", "partial")
+    time = F.col("time")
+    return found.select(
+        "doc_id", "mention", "kind", "change", "title", F.size("times").alias("times"), "location", "due", "partial", "path", time["precision"].alias("precision"), time["instant"].alias("instant"),
+        F.col("end_time")["instant"].alias("until"), F.length("original").alias("chars"),
+    )
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +108,7 @@ def candidate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signature = times.temporal_signature(F.get("times", F.lit(0)))
-    return reconcile.assign_events(_candidates(spark, sf_dir).withColumn("signature", signature))
+    return reconcile.assign_events(once(_candidates(spark, sf_dir), signature=times.temporal_signature(F.col("time"))).drop("times"))
 
 
 def extract_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +211,14 @@ QUERIES = [
 
 _TYPE = "case " + " ".join(f"when regexp_matches(lower(text), '\\b(?:{'|'.join(words)})\\b') then '{name}'" for name, words in wording.TYPE_WORDS.items()) + " end"
 
+_MENTIONED = ["assignment_due", "assignment_due", "quiz", "test", "exam", "presentation", "tutorial", "lab", "lecture", "project_milestone", "submission"]
+
 ORACLE = {
+    "extract_mentions": f"""with {ANNOUNCEMENTS}, p as (select *, key % 12 as k, key // 12 % 7 as phrase from announcements)
+select key as doc_id, 1 as mention, {_sql_of(_MENTIONED + ['none'], 'key')} as kind, ['NONE', 'MOVE', 'CANCELLATION', 'VENUE_CHANGE', 'NONE', 'NONE', 'NONE'][phrase + 1] as change,
+  head as title, 1 as times, case when phrase = 3 then 'Room 5' end as location, phrase in (0, 6) as due, false as partial, case when phrase = 2 then 'text.segment.1' else 'text' end as path, 'EXACT_TIME' as precision,
+  date_trunc('day', day) + interval 150 minute as instant, cast(null as timestamp) as until, length(text) as chars
+from p where k < 11 and phrase <> 4 and not (k = 9 and phrase in (1, 2, 3))""",
     "title_identity": f"""with {ANNOUNCEMENTS},
   w as (select key, lower(regexp_extract(head, '^(?:Term |Project )?([A-Za-z]+)', 1)) as word, lower(replace(head, ' #', ' ')) as plain, key % 4 + 1 as n, key % 12 as k from announcements)
 select key, case when word = 'homework' then 'assignment ' || n when word in ('milestone', 'picnic') then plain else word || ' ' || n end as identity,
