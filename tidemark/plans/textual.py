@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import chunks, classify, latest, search
+from tidemark.operators import chunks, classify, index, latest, search
 from tidemark.operators.paging import page, page_after
 from tidemark.plans.bindings import table
 
@@ -78,10 +78,16 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.query_terms(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    return index.saved_index(spark, f"{sf_dir}/documents.parquet", FIELDS, "source")
+
+
 def _bm25(spark: SparkSession, sf_dir: str, mode: str, queries: DataFrame) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    wanted = search.asked_terms(queries)
-    return search.bm25(search.postings(docs, FIELDS, wanted=wanted), search.corpus_stats(docs, list(FIELDS)), queries, mode)
+    return index.scores(spark, _index(spark, sf_dir), queries, mode).withColumnRenamed("key", "doc_id")
+
+
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return index.best(spark, _index(spark, sf_dir), _queries(spark, sf_dir), k).withColumnRenamed("key", "doc_id")
 
 
 def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +104,7 @@ def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _bm25(spark, sf_dir, "any", _queries(spark, sf_dir)).withColumn("rank_score", F.round("rank_score", 6))
-    return search.top(scored, [F.asc("rank_score"), F.asc("doc_id")], 10)
+    return _best(spark, sf_dir, 10)
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +118,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _bm25(spark, sf_dir, "any", _queries(spark, sf_dir)).withColumn("rank_score", F.round("rank_score", 6))
-    lexical = search.top(scored, [F.asc("rank_score"), F.asc("doc_id")], search.DEPTH)
+    lexical = _best(spark, sf_dir, search.DEPTH)
     dense = search.dense_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _vector_queries(spark, sf_dir), search.DEPTH)
     fused = search.rrf([lexical, dense.select("query_id", F.col("vec_id").alias("doc_id"), "rank")])
     return fused.select("query_id", "doc_id", F.round("rank_score", 6).alias("rank_score"), "rank")

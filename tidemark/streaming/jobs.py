@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import changes, latest, search, status
+from tidemark.operators import changes, index, latest, search, status
 
 
 def ingest(stream: DataFrame, delay: str, key: tuple[str, ...] = ("resource_key", "run_key", "fingerprint")) -> DataFrame:
@@ -55,6 +55,16 @@ def refresh_index(path: str, documents: Callable[[], DataFrame], build: Callable
     return sink
 
 
+def refresh_saved_index(path: str, documents: Callable[[], DataFrame], fields: dict[str, float], key: str = "doc_id") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for an index as ``index.write`` makes it: a batch of changes (old_course, new_course) overwrites the
+    partitions of its courses and touches no others, so its cost is by what it changes, and a batch that is run again gives the same."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        index.write(documents(), path, fields, search.affected(batch), key)
+
+    return sink
+
+
 def inventory_runs(path: str, known: Callable[[], DataFrame], seen: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that writes what finished runs (see ``changes.inventory``) omitted; runs come in the order of their time.
 
