@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import answers, evidence, library, matching, state, textual, wordings
+from tidemark.plans import answers, decisions, evidence, library, matching, state, textual, wordings
 
-MODULES = (state, textual, wordings, library, answers, matching, evidence)
+MODULES = (state, textual, wordings, library, answers, matching, evidence, decisions)
 
 
 def queries() -> dict:
