@@ -37,7 +37,9 @@ def told(spark, path):
 QUERIES = [(1, "w3 w17"), (2, "w0 w1 w2 w40"), (3, "w59"), (4, "w0"), (5, "nothing here"), (6, "w8 w9 w10 w11 w0")]
 
 
-def test_scores_and_best_equal_scoring_everything(spark, tmp_path):
+@pytest.mark.parametrize("whole", [0, 10**9])
+def test_scores_and_best_equal_scoring_everything(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(index, "SCORED_WHOLE", whole)
     docs = frame(spark, made_up(1, 600))
     path = str(tmp_path / "index")
     index.write(docs, path, FIELDS, docs.select("course").distinct())

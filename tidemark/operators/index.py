@@ -24,6 +24,8 @@ from tidemark.operators.lineage import cut, shared_folder
 BUCKETS = 8
 #: Up to so many terms are named in the filter that reaches the files; beyond that they are joined.
 NAMED_TERMS = 500
+#: Queries that meet no more postings than this in all are scored whole.
+SCORED_WHOLE = 50_000_000
 #: Scores are compared in so many digits; bounds leave as much room.
 DIGITS, ROOM = 6, 2e-6
 
@@ -90,11 +92,11 @@ def best(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFram
 
     The documents of a query's weightiest term are scored whole, and the k-th of them is a threshold.  Terms whose bounds
     together stay below it bring no document in, so their postings are joined to the documents of the other terms
-    only, and not scored for all that hold them.
+    only, and not scored for all that hold them.  Either way the result is the same.
     """
     found = postings(spark, path, search.asked_terms(queries)).crossJoin(F.broadcast(stats(spark, path)))  # one row
     parts = cut(_parts(found))
-    bounds = parts.groupBy("term").agg(F.max("bound").alias("bound"))
+    bounds = parts.groupBy("term").agg(F.max("bound").alias("bound"), F.count("*").alias("n"))
     asked = cut(queries.select("query_id", F.explode("terms").alias("term")).join(search.small(bounds), "term"))
     by_bound = Window.partitionBy("query_id").orderBy("bound", "term")  # at most MAX_TERMS rows each
     asked = asked.select("*", F.sum("bound").over(by_bound.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")).alias("nth"))
@@ -106,6 +108,9 @@ def best(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFram
         every = parts.join(search.small(asked.select("query_id", "term")), "term")
         return every.join(held, ["query_id", "key"], "left_semi").groupBy("query_id", "key").agg(score)
 
+    if (asked.agg(F.sum("n")).first()[0] or 0) <= SCORED_WHOLE:  # then looking for a threshold costs more than it saves
+        every = parts.join(search.small(asked.select("query_id", "term")), "term").groupBy("query_id", "key").agg(score)
+        return search.top(every, [F.asc("rank_score"), F.asc("key")], k)
     first = search.top(whole(asked.where("nth = 1")), [F.asc("rank_score"), F.asc("key")], k)
     least = first.where(F.col("rank") == k).select("query_id", (-F.col("rank_score")).alias("least"))
     needed = asked.join(search.small(least), "query_id", "left").where(F.col("least").isNull() | (F.col("upto") + ROOM >= F.col("least")))
