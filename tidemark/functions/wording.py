@@ -193,7 +193,9 @@ def line_facts(c: Column) -> Column:
         row = F.coalesce(at(0).rlike("^[0-9]{1,2}$"), F.lit(False)) & (at(1).isNull() | (_in(at(1), ["st", "nd", "rd", "th", ".", ")"]) & (F.size(w) == 2)))
         return F.struct(label.alias("label"), (label & (F.size(w) <= 2)).alias("bare"), row.alias("row"), (_in(at(0), ["("]) & _in(at(1), ["by", "due"]) & _in(F.get(w, F.size(w) - 1), [")"])).alias("bracket"))
 
-    return let(let(_words(c), lambda w: F.when(_in(F.get(w, F.lit(0)), _BULLETS), F.slice(w, 2, F.size(w))).otherwise(w)), of)
+    said = let(let(_words(c), lambda w: F.when(_in(F.get(w, F.lit(0)), _BULLETS), F.slice(w, 2, F.size(w))).otherwise(w)), of)
+    nothing = F.struct(*(F.lit(False).alias(name) for name in ("label", "bare", "row", "bracket")))
+    return F.when(c.rlike(rf"(?i)^\W*(?:{'|'.join(_FIELDS)}|[0-9]|(?<=\()(?:by|due))"), said).otherwise(nothing)  # most segments begin with something else
 
 
 def is_negated(c: Column) -> Column:

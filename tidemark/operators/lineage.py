@@ -14,10 +14,11 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not context.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    set_before = context._jsc.sc().getCheckpointDir()
-    return set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="spark-")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
