@@ -1,5 +1,7 @@
 """Replay of manual decisions: what is accepted, what is rejected and why."""
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import decisions
 
 LOG = "decision_key long, decided_at long, event_id string, field_name string, claim_key long, value string, precision string, zone string, original string"
@@ -48,3 +50,11 @@ def test_values_are_checked_by_field(spark):
     assert got[99].reasons == ["UNKNOWN_EVENT"]
     assert {i for i, r in got.items() if r.state == "ACTIVE"} == {17, 4, 7, 11}  # the newest accepted one of each field, equal times by key
     assert decisions.field_decisions(log.limit(0), spark.createDataFrame([("e",)], "event_id string"), claims).count() == 0
+
+
+def test_many_claims_of_few_rows_are_not_broadcast(spark):
+    log = spark.createDataFrame([(1, 1, "e", "title", 7, None, None, None, None), (2, 2, "e", "title", 200_001, None, None, None, None)], LOG.replace("claim_key long", "claim_key int"))
+    claims = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(200_000))).alias("claim_key"), F.lit("e").alias("event_id"), F.lit("title").alias("field_name"))
+    found = decisions.field_decisions(log, spark.createDataFrame([("e",)], "event_id string"), claims)
+    assert "SortMergeJoin [claim_key" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.decision_key: (r.state, r.reasons) for r in found.collect()} == {1: ("ACTIVE", []), 2: ("REJECTED", ["CLAIM_OF_ANOTHER_FIELD"])}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import wording
 from tidemark.operators.matching import GENERIC
+from tidemark.operators.search import small
 
 #: Fields of an event, those that are times, types beside those of ``wording``, and states.
 TIME_FIELDS = ["start_time", "end_time", "due_time"]
@@ -48,7 +49,7 @@ def identity_decisions(log: DataFrame, sources: DataFrame, events: DataFrame) ->
     """
     s = sources.select("source_key", F.col("course_key").alias("of_source"), "bound_event", F.lit(True).alias("source_there"))
     e = events.select("event_id", F.col("course_key").alias("of_event"), F.lit(True).alias("event_there"))
-    joined = log.join(s, "source_key", "left").join(e, "event_id", "left")
+    joined = log.join(small(s), "source_key", "left").join(small(e), "event_id", "left")
     reasons = _reasons(
         unknown_event=F.col("event_there").isNull(),
         unknown_source=F.col("source_there").isNull(),
@@ -67,7 +68,7 @@ def field_decisions(log: DataFrame, events: DataFrame, claims: DataFrame) -> Dat
     ``value`` comes out as it is stored: trimmed, dates as yyyy-MM-dd, instants as UTC seconds.
     """
     c = claims.select("claim_key", F.col("event_id").alias("claimed_event"), F.col("field_name").alias("claimed_field"), F.lit(True).alias("claim_there"))
-    joined = log.join(events.select("event_id", F.lit(True).alias("event_there")), "event_id", "left").join(c, "claim_key", "left")
+    joined = log.join(small(events.select("event_id", F.lit(True).alias("event_there"))), "event_id", "left").join(small(c), "claim_key", "left")
     field, value, precision = F.col("field_name"), F.trim("value"), F.col("precision")
     picks, timed = F.col("claim_key").isNotNull(), field.isin(*TIME_FIELDS)
     instant = F.try_to_timestamp(value, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
