@@ -156,3 +156,18 @@ def test_query_equals_one_after_another(spark, sf):
     got = plans.reconcile_candidates(spark, sf).collect()
     flat = lambda x: ",".join(x)
     assert {r.candidate_key: (r.event_id, r.result, r.considered, r.accepted, r.rejected, r.confidence) for r in got} == {k: (e, r, flat(c), flat(a), flat(j), f) for k, (e, r, c, a, j, f) in expected.items()}
+
+
+def test_rounds_after_the_first_decide_only_what_changed(spark, monkeypatch):
+    data = made_up(1, 300, 3)
+    asked, real = [], matching._asking
+
+    def counted(*args):
+        found = real(*args).collect()
+        asked.append({r.candidate_key for r in found})
+        return spark.createDataFrame(found, "candidate_key long")
+
+    monkeypatch.setattr(matching, "_asking", counted)
+    monkeypatch.setattr(matching, "ROUNDS_KEPT", 3)
+    assert told(matching.decide(*frames(spark, *data))) == one_after_another(*data)
+    assert len(asked) > 3 and not asked[-1] and len(asked[-2]) < len(asked[0])

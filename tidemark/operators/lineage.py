@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but through Parquet: a checkpoint keeps what Spark inferred of its plan, which grows from round to round."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/frame-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """With columns that are computed once for all their uses: Spark doesn't merge projections across a generator."""
     one = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("_once")

@@ -12,7 +12,8 @@ plain candidates by key, then changes, then the plain ones that resembled an eve
 reason, once again.  A decision depends on earlier places only.  So all are decided at once, facts
 are drawn from the decisions, and that is repeated until nothing changes: then every one has been
 decided on the facts before it.  Rounds are as many as the longest chain of candidates of which
-each needs a fact of the one before, and two more.
+each needs a fact of the one before, and two more.  After the first a round decides only those for
+which a fact that they ask for has come to hold before their place, or no longer does.
 
 Only the first plain candidate of its course, identity and type can make an event: whatever becomes
 of it, the next ones find an event of that identity and type.
@@ -24,17 +25,22 @@ time that agrees with none; null lists are empty; an empty frame gives an empty
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import wording
-from tidemark.operators.lineage import cut
+from tidemark.operators.lineage import cut, stored
+from tidemark.operators.search import size_hint, small
 
 GENERIC = "generic_course_event"
 #: How sure a match is with a relation, without one, and if it only resembles.
 RELATED, MATCHED, RESEMBLES = 0.95, 0.9, 0.5
 #: Passes in the order of decisions; facts of events that are known before hold from 0 on.
 PLAIN, CHANGE, AGAIN = 1, 2, 3
+#: Outcomes of so many rounds are put together.
+ROUNDS_KEPT = 6
 PLACE = "struct<pass: int, key: long>"
 
 
@@ -109,14 +115,15 @@ def matches(rows: DataFrame, facts: DataFrame) -> DataFrame:
     ``rows``: prepared candidates with ``place``; ``facts``: event, fact, place.  Columns: accepted and rejected signals, merge, confidence.
     """
     key = ["candidate_key", "place", "event"]
+    held = size_hint(facts)
     numbers = facts.where(F.col("fact").startswith("no:")).groupBy("event").agg(F.collect_set(F.substring("fact", 4, 100)).alias("numbers"))
     named = facts.where(F.col("fact").startswith("id:")).select("event", F.col("fact").alias("block"), F.col("place").alias("since"))
     mine = rows.where("identity != ''").select(*rows.columns, _concat("id:", F.col("course_key"), ":", F.col("identity")).alias("block"))
-    pairs = mine.join(named, "block").where("since < place").join(numbers, "event", "left")
+    pairs = mine.join(held(named), "block").where("since < place").join(held(numbers), "event", "left")
     pairs = pairs.where((F.col("number") == "") | F.col("numbers").isNull() | (F.size(F.array_remove(F.col("numbers"), F.col("number"))) == 0))
     asked = pairs.select(*key, "change", "number", "kind", F.transform("times", lambda t: t["field"]).alias("fields"), F.explode("wanted").alias("w")).select("*", "w.*").drop("w")
     known = facts.select("event", "fact", F.col("place").alias("since"))
-    hit = asked.join(known, ["event", "fact"], "left").withColumn("hit", F.coalesce(F.col("since") < F.col("place"), F.lit(False)))
+    hit = asked.join(held(known), ["event", "fact"], "left").withColumn("hit", F.coalesce(F.col("since") < F.col("place"), F.lit(False)))
     any_ = lambda role: F.bool_or(F.col("hit") & (F.col("role") == role))
     fields = lambda role: F.collect_set(F.when(F.col("hit") & (F.col("role") == role), F.col("field")))
     found = hit.groupBy(*key).agg(
@@ -161,6 +168,32 @@ def _summary(found: DataFrame) -> DataFrame:
     return found.groupBy("candidate_key").agg(*columns)
 
 
+#: Stands for the fact by which a candidate finds an event, among those that it asks for.
+SELF = "id"
+
+
+def _asking(asks: DataFrame, before: DataFrame, facts: DataFrame) -> DataFrame:
+    """candidate_key: for whom a fact of an event that they find by identity holds at their place in one of both frames only.
+
+    ``asks``: candidate_key, place, block (their identity), fact; ``before``, ``facts``: event, fact, place.
+    """
+    moved = before.withColumnRenamed("place", "was").join(facts.withColumnRenamed("place", "now"), ["event", "fact"], "full").where("not (was <=> now)")
+    moved = moved.select("event", "fact", F.least("was", "now").alias("low"), F.when(F.col("was").isNotNull() & F.col("now").isNotNull(), F.greatest("was", "now")).alias("high"))
+    named = facts.where(F.col("fact").startswith("id:")).select("event", F.col("fact").alias("block"))
+    found = moved.where(F.col("fact").startswith("id:")).select(F.col("fact").alias("block"), F.lit(SELF).alias("fact"), "low", "high")
+    found = found.union(moved.join(named, "event").select("block", "fact", "low", "high")).distinct()
+    flips = (F.col("low") < F.col("place")) & (F.col("high").isNull() | (F.col("place") <= F.col("high")))
+    return asks.join(small(stored(found)), ["block", "fact"]).where(flips).select("candidate_key").distinct()
+
+
+def _latest(rounds: list[DataFrame]) -> DataFrame:
+    """The rows of all rounds, of each candidate those of its last one."""
+    of = [rows.withColumn("round", F.lit(n)) for n, rows in enumerate(rounds)]
+    redone = reduce(DataFrame.union, [rows.select("candidate_key", "round") for rows in of[1:]]).groupBy("candidate_key").agg(F.max("round").alias("last_round"))
+    joined = reduce(DataFrame.union, of).join(small(redone), "candidate_key", "left")
+    return joined.where(F.col("round") == F.coalesce("last_round", F.lit(0))).drop("round", "last_round")
+
+
 def _new_event(course: Column, candidate: Column, source: Column) -> Column:
     return F.sha2(F.concat_ws(":", course.cast("string"), candidate.cast("string"), F.coalesce(source.cast("string"), F.lit(""))), 256)
 
@@ -189,9 +222,9 @@ def decide(candidates: DataFrame, members: DataFrame, bound: DataFrame, manual:
     evals = evals.withColumn("place", place(F.col("pass"))).drop("pass")
     known = cut(event_facts(members))
 
-    facts, before = known, None
-    while True:
-        joined = open_.join(_summary(matches(evals, facts)), "candidate_key", "left")
+    def outcome(some: DataFrame, there: DataFrame, facts: DataFrame) -> DataFrame:
+        """What becomes of these open candidates, decided at these places on these facts."""
+        joined = some.join(_summary(matches(there, facts)), "candidate_key", "left")
         joins, later = F.coalesce(F.col("now.merges") == 1, F.lit(False)), F.coalesce(F.col("again.merges") == 1, F.lit(False)) & F.lit(not onto_known)
         plain, nothing = F.col("change") == "NONE", F.coalesce(F.size("now.seen"), F.lit(0)) == 0
         # One that may not make an event will find one of its kind, if not in this round.
@@ -200,18 +233,25 @@ def decide(candidates: DataFrame, members: DataFrame, bound: DataFrame, manual:
         match = F.when(joins, F.col("now.match")).when(result == "MERGED", F.col("again.match"))
         event = F.when(result == "CREATED", F.col("new_event")).otherwise(match["event"])
         last = F.when(plain & (result != "CREATED") & ~joins & F.lit(not onto_known), F.col("again")).otherwise(F.col("now"))
-        decided = joined.select("course_key", "candidate_key", "facts", event.alias("event"), result.alias("result"), place(pass_).alias("place"), match.alias("match"), last.alias("last"), F.col("confidence").alias("own"))
-        decided = cut(decided)
-        if onto_known:
-            break
-        state = decided.select("candidate_key", "event", "place")
-        if before is not None:
-            same = before.join(state.select("candidate_key", F.col("event").alias("e"), F.col("place").alias("p")), "candidate_key").where(~(F.col("event").eqNullSafe(F.col("e")) & (F.col("place") == F.col("p"))))
-            if same.isEmpty():
+        return joined.select("course_key", "candidate_key", "identity", "facts", event.alias("event"), result.alias("result"), place(pass_).alias("place"), match.alias("match"), last.alias("last"), F.col("confidence").alias("own"))
+
+    decided = stored(outcome(open_, evals, known))
+    if not onto_known:
+        asks = stored(evals.where("identity != ''").select("candidate_key", "place", _concat("id:", F.col("course_key"), ":", F.col("identity")).alias("block"), F.explode(F.array_distinct(F.concat(F.array(F.lit(SELF)), F.transform("wanted", lambda w: w["fact"])))).alias("fact")))
+        rounds, facts = [decided], known
+        while True:
+            # One without identity is found by nobody, so neither are its facts.
+            brought = decided.where("event is not null and identity != ''").select("event", F.explode("facts").alias("fact"), "place")
+            before, facts = facts, stored(known.union(brought).groupBy("event", "fact").agg(F.min("place").alias("place")))
+            again = stored(_asking(asks, before, facts))
+            if again.isEmpty():
                 break
-        before = state
-        brought = decided.where("event is not null").select("event", F.explode("facts").alias("fact"), "place")
-        facts = cut(known.union(brought).groupBy("event", "fact").agg(F.min("place").alias("place")))
+            some = small(again)
+            rounds.append(stored(outcome(open_.join(some, "candidate_key", "left_semi"), evals.join(some, "candidate_key", "left_semi"), facts)))
+            decided = _latest(rounds)
+            if len(rounds) == ROUNDS_KEPT:  # so that plans stay short
+                decided = stored(decided)
+                rounds = [decided]
 
     events = F.coalesce(F.transform(F.col("last.seen"), lambda s: s["event"]), empty)
     against = F.coalesce(F.flatten(F.transform(F.col("last.seen"), lambda s: s["rejected"])), empty)
