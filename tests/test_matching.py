@@ -170,4 +170,5 @@ def test_rounds_after_the_first_decide_only_what_changed(spark, monkeypatch):
     monkeypatch.setattr(matching, "_asking", counted)
     monkeypatch.setattr(matching, "ROUNDS_KEPT", 3)
     assert told(matching.decide(*frames(spark, *data))) == one_after_another(*data)
-    assert len(asked) > 3 and not asked[-1] and len(asked[-2]) < len(asked[0])
+    decided = sum(c["title"] not in (None, "") for c in data[0])
+    assert len(asked) > 1 and not asked[-1] and all(len(a) < decided for a in asked), [len(a) for a in asked]

@@ -190,8 +190,8 @@ def _latest(rounds: list[DataFrame]) -> DataFrame:
     """The rows of all rounds, of each candidate those of its last one."""
     of = [rows.withColumn("round", F.lit(n)) for n, rows in enumerate(rounds)]
     redone = reduce(DataFrame.union, [rows.select("candidate_key", "round") for rows in of[1:]]).groupBy("candidate_key").agg(F.max("round").alias("last_round"))
-    joined = reduce(DataFrame.union, of).join(small(redone), "candidate_key", "left")
-    return joined.where(F.col("round") == F.coalesce("last_round", F.lit(0))).drop("round", "last_round")
+    joined = reduce(DataFrame.unionByName, of).join(small(redone), "candidate_key", "left")
+    return joined.where(F.col("round") == F.coalesce("last_round", F.lit(0))).select(rounds[0].columns)
 
 
 def _new_event(course: Column, candidate: Column, source: Column) -> Column:
