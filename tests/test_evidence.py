@@ -1,8 +1,10 @@
 """Interval joins, page chains and histories of renders against plain Python."""
 
 import datetime as dt
+import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.operators import evidence, intervals
 
@@ -53,3 +55,13 @@ def test_descriptions_of_renders(spark):
     of = lambda rows, k, t: spark.createDataFrame(rows, f"{k} long, artifact string, content_hash string, {t} long")
     got = {r.description_key: (r.render_key, r.is_current) for r in evidence.visual_history(of(said, "description_key", "described_at"), of(shown, "render_key", "rendered_at")).collect()}
     assert got == {1: (10, False), 2: (13, False), 7: (13, True), 3: (12, False), 4: (None, False), 5: (None, False), 6: (None, False)}
+
+
+def test_points_are_looked_for_on_the_levels_of_spans_only(spark):
+    day = lambda n: F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval({n})")
+    rows = spark.range(50).select("id", day("cast(id as int)").alias("low"), day("cast(id as int)").alias("high"))
+    found = intervals._inside(rows, spark.range(1).select(day("8").alias("since"), day("9").alias("until")), "low", "since", "until")
+    assert sorted(r.id for r in found.collect()) == [8, 9]
+    looked = [int(n) for n in re.findall(r"transform\(cast\(array\(([0-9, ]+)\)", found._jdf.queryExecution().analyzed().toString()) for n in n.split(",")]
+    assert looked == [0, 1] or looked == [1] or looked == [0]
+    assert intervals.overlap_join(rows, spark.range(0).select(day("8").alias("since"), day("9").alias("until"))).count() == 0
