@@ -91,7 +91,7 @@ def order_hits() -> list[Column]:
     return [F.asc("rank_score"), place.asc(), F.asc("course_key"), *(k.asc() for k in keys), *(F.asc(c) for c in ("text_origin", "entity_key", "source_key", "doc_id"))]
 
 
-def search_page(scored: DataFrame, docs: DataFrame, filters: Filters, current: DataFrame, limit: int) -> DataFrame:
+def search_page(scored: DataFrame, docs: DataFrame, filters: Filters, current: DataFrame | None, limit: int) -> DataFrame:
     """The first ``limit`` hits of each query (query_id, doc_id, rank_score) that pass the filters; ``truncated`` says whether more follow."""
     hits = top(scored.join(apply_filters(docs, filters, current), "doc_id"), order_hits(), limit + 1)
     more = F.max("rank").over(Window.partitionBy("query_id")) > limit
@@ -102,7 +102,7 @@ def with_neighbors(hits: DataFrame, chunks: DataFrame, before: int = 1, after: i
     """Hits with the texts around their chunk, in its order: ``neighbors`` of (resource_key, chunk_key, text)."""
     around = hits.select("query_id", "doc_id", "resource_key", F.explode(F.sequence(F.col("chunk_key") - before, F.col("chunk_key") + after)).alias("at")).where("resource_key is not null")
     texts = chunks.select("resource_key", F.col("chunk_key").alias("at"), F.col("text").alias("near_text"))
-    found = around.join(texts, ["resource_key", "at"]).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "near_text"))).alias("neighbors"))
+    found = texts.join(small(around), ["resource_key", "at"]).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "near_text"))).alias("neighbors"))
     return hits.join(found, ["query_id", "doc_id"], "left")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import values
 from tidemark.operators import answers, sources
+from tidemark.operators.lineage import stored
 from tidemark.operators.paging import page
 from tidemark.plans import textual
 from tidemark.plans.bindings import observations, table
@@ -76,9 +77,11 @@ def filtered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _search_documents(spark, sf_dir)
-    scored = textual.bm25_any(spark, sf_dir)
-    hits = answers.search_page(scored, docs, answers.Filters(entity_kinds=("material", "chunk", "content"), origins=("derived",)), _current(docs), 5)
-    found = answers.with_neighbors(hits.drop("text"), docs.select("resource_key", "chunk_key", "text"))
+    filters = answers.Filters(entity_kinds=("material", "chunk", "content"), origins=("derived",))
+    passing = stored(answers.apply_filters(docs.drop("text"), filters, _current(docs)))
+    scored = textual.rounded_scores(spark, sf_dir, k=6, only=passing.select(F.col("doc_id").alias("key")))  # one more tells whether a page is cut
+    hits = stored(answers.search_page(scored, passing, filters, None, 5))
+    found = answers.with_neighbors(hits, docs.select("resource_key", "chunk_key", "text"))
     near = F.array_join(F.transform("neighbors", lambda x: F.concat_ws(":", x["at"], F.length(x["near_text"]))), ",")
     return found.select("query_id", "doc_id", "rank", "rank_score", "truncated", near.alias("neighbors"))
 
