@@ -65,7 +65,10 @@ def work_backlog(work: DataFrame, max_attempts: int) -> DataFrame:
     ``work``: job_key, owner, status, attempts, depends_on.
     """
     done = work.select(F.col("job_key").alias("depends_on"), F.col("status").alias("upstream"))
-    joined = work.join(done, "depends_on", "left")
+    # Work that depends on nothing isn't joined: a null key would bring all of it to one task.
+    waits = F.col("depends_on").isNotNull()
+    free = work.where(~waits).withColumn("upstream", F.lit(None).cast(work.schema["status"].dataType))
+    joined = work.where(waits).join(done, "depends_on", "left").unionByName(free)
     pending = F.col("status") == "PENDING"
     stuck = (F.col("attempts") >= max_attempts) | (F.col("depends_on").isNotNull() & F.coalesce(F.col("upstream") != "DONE", F.lit(True)))
     return joined.groupBy("owner").agg(F.count_if(F.col("status") != "DONE").alias("remaining"), F.count_if((F.col("status") == "FAILED") | (pending & stuck)).alias("blocked"))
