@@ -51,3 +51,16 @@ def test_every_mention_of_every_course_is_a_candidate(spark, sf):
     courses = wordings.announcements(spark, sf).select("course_key").distinct().count()
     got = found.selectExpr("count(*) as n", "count(distinct candidate_key) as keys", "count(distinct course_key) as courses").first()
     assert got.n == got.keys == mentions and got.courses > 0.8 * courses
+
+
+def test_candidates_are_computed_once(spark):
+    rows, read = [(1, key, "quiz 1", "quiz", "NONE", SIGNATURES[key % len(SIGNATURES)]) for key in range(40)], spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "course_key long, candidate_key long, title string, kind string, change string, signature string"
+    frame = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    assert len(reconcile.assign_events(frame).collect()) == len(rows) and read.value == len(rows)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import times, wording
 from tidemark.operators.latest import latest_by
+from tidemark.operators.lineage import stored
+
 
 def assign_events(candidates: DataFrame) -> DataFrame:
     """course_key, candidate_key, event_id, outcome (CREATED, MERGED, RELATED_CHANGE, UNRESOLVED).
@@ -25,10 +27,10 @@ def assign_events(candidates: DataFrame) -> DataFrame:
     """
     keyed = candidates.withColumn("identity", wording.title_identity(F.col("title")))
     block = F.when(F.col("identity") == "", F.concat(F.lit("\x00"), F.col("candidate_key").cast("string"))).otherwise(F.col("identity"))
-    keyed = keyed.select(
+    keyed = stored(keyed.select(  # read five times below: the wording that it comes from is read once
         "course_key", F.coalesce(F.col("course_key").cast("string"), F.lit("")).alias("course"), block.alias("block"), F.coalesce("kind", F.lit("")).alias("kind"),
         "candidate_key", F.coalesce(F.col("change") != "NONE", F.lit(False)).alias("is_change"), F.coalesce("signature", F.lit("")).alias("signature"),
-    )
+    ))
     group = ["course", "block", "kind"]
     plain = keyed.where("not is_change").groupBy(*group, "signature").agg(F.min("candidate_key").alias("first"))
 
