@@ -172,3 +172,11 @@ def test_rounds_after_the_first_decide_only_what_changed(spark, monkeypatch):
     assert told(matching.decide(*frames(spark, *data))) == one_after_another(*data)
     decided = sum(c["title"] not in (None, "") for c in data[0])
     assert len(asked) > 1 and not asked[-1] and all(len(a) < decided for a in asked), [len(a) for a in asked]
+
+
+def test_a_run_onto_known_events_writes_its_candidates_once(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(matching, "cut", lambda df, cut=matching.cut: written.append(df.columns) or cut(df))
+    monkeypatch.setattr(matching, "stored", lambda df, stored=matching.stored: written.append(df.columns) or stored(df))
+    assert plans.decision_audit(spark, sf).count() > 0
+    assert len([columns for columns in written if "candidate_key" in columns]) == 1

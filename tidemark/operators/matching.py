@@ -215,9 +215,14 @@ def decide(candidates: DataFrame, members: DataFrame, bound: DataFrame, manual:
     )
     place = lambda pass_: F.struct(pass_.cast("int").alias("pass"), F.col("candidate_key").alias("key"))
     first = F.when(F.col("change") == "NONE", PLAIN).otherwise(CHANGE)
-    open_ = cut(kept.where("fixed is null").drop("picked", "held", "fixed").withColumn("new_event", _new_event(F.col("course_key"), F.col("candidate_key"), F.col("source_key"))))
-    makers = open_.where("change = 'NONE' and identity != ''").groupBy("course_key", "identity", "kind").agg(F.min("candidate_key").alias("candidate_key")).select("candidate_key", F.lit(True).alias("may_make"))
-    open_ = cut(open_.join(makers, "candidate_key", "left").withColumn("may_make", F.coalesce("may_make", F.lit(False)) | ((F.col("identity") == "") & (F.col("change") == "NONE"))))
+    open_ = kept.where("fixed is null").drop("picked", "held", "fixed").withColumn("new_event", _new_event(F.col("course_key"), F.col("candidate_key"), F.col("source_key")))
+    # All that follows goes by candidate, so the candidates are dealt that way once.
+    open_ = cut(open_.repartition("candidate_key"))
+    if onto_known:  # then any may make an event
+        open_ = open_.withColumn("may_make", F.lit(True))
+    else:
+        makers = open_.where("change = 'NONE' and identity != ''").groupBy("course_key", "identity", "kind").agg(F.min("candidate_key").alias("candidate_key")).select("candidate_key", F.lit(True).alias("may_make"))
+        open_ = cut(open_.join(makers, "candidate_key", "left").withColumn("may_make", F.coalesce("may_make", F.lit(False)) | ((F.col("identity") == "") & (F.col("change") == "NONE"))))
     evals = open_.withColumn("pass", F.explode(F.when((F.col("change") == "NONE") & F.lit(not onto_known), F.array(F.lit(PLAIN), F.lit(AGAIN))).otherwise(F.array(first))))
     evals = evals.withColumn("place", place(F.col("pass"))).drop("pass")
     known = cut(event_facts(members))
@@ -235,8 +240,9 @@ def decide(candidates: DataFrame, members: DataFrame, bound: DataFrame, manual:
         last = F.when(plain & (result != "CREATED") & ~joins & F.lit(not onto_known), F.col("again")).otherwise(F.col("now"))
         return joined.select("course_key", "candidate_key", "identity", "facts", event.alias("event"), result.alias("result"), place(pass_).alias("place"), match.alias("match"), last.alias("last"), F.col("confidence").alias("own"))
 
-    decided = stored(outcome(open_, evals, known))
+    decided = outcome(open_, evals, known)
     if not onto_known:
+        decided = stored(decided)
         asks = stored(evals.where("identity != ''").select("candidate_key", "place", _concat("id:", F.col("course_key"), ":", F.col("identity")).alias("block"), F.explode(F.array_distinct(F.concat(F.array(F.lit(SELF)), F.transform("wanted", lambda w: w["fact"])))).alias("fact")))
         rounds, facts = [decided], known
         while True:
