@@ -43,3 +43,19 @@ def test_a_changed_word_is_near(spark):
     line = "It was nterti who came " + "to the house and stayed there for a long time, " * 3
     docs = spark.createDataFrame([(1, line), (2, line.replace("nterti", "the")), (3, line[:60] + "another end of it")], "doc_id long, text string")
     assert {r.doc_id: r.near for r in linededup.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_lines_without_their_equal_ends_have_as_many_edits(spark):
+    rng = np.random.default_rng(3)
+    base = "".join(rng.choice(list("ab é漢"), 300))
+    lines = [base, base + "x", "x" + base, base[:150] + base[151:], base[:40] + "xy" + base[41:260] + "z" + base[260:], "a" * 30, "a" * 31, "a" * 33, "b" + "a" * 31, base[::-1], "ab", ""]
+    pairs = [(a, b, k) for i, a in enumerate(lines) for b in lines[i + 1 :] for k in (0, 1, 2, 5)]
+    frame = spark.createDataFrame(pairs, "line_a string, line_b string, allowed int")
+    got = {tuple(r) for r in linededup.within(frame).collect()}
+    assert got == {(a, b, k) for a, b, k in pairs if levenshtein(a, b) <= k} and got
+
+
+def test_near_copies_that_differ_in_many_letters_are_no_candidates(spark):
+    start, end = "the one line that all of them begin with, and its second part; ", " so it ends for all of them in the same way as well"
+    lines = [(n, start + letter * 5 + end) for n, letter in enumerate("trosl")]
+    assert linededup.edit_candidates(spark.createDataFrame(lines, "id long, line string")).count() == 0

@@ -38,10 +38,13 @@ BAND_WIDTH = 8
 BROADCAST_LINES = 500_000
 #: A line that makes up a share of 1 / HOT of all repeated ones is dealt to SALTS tasks; there are at most HOT of them.
 HOT, SALTS = 500, 64
-#: Letters whose counts, beside the length, are compared before a candidate is emitted; each has so many bits.
+#: Letters whose counts, beside the length, are compared before a candidate is emitted; each has so many bits, so that ten fit into one long.
+PROFILED, PROFILE_BITS = "enaitroshl", 5
+#: Letters whose counts, beside the length, are compared before a candidate is verified, as many in each group as fit into one long.
 COUNTED, COUNT_BITS = "enai", 11
-#: Further letters whose counts are compared before a candidate is verified, as many in each group as fit into one long.
 MORE_COUNTED = ("trosl", "dcump", "ghvfb", "wyzkj")
+#: Equal characters at both ends of two lines are cut off in pieces of so many, the longest first, before their edits are counted.
+PIECES = [1 << n for n in range(16, 2, -1)]
 #: Segments are joined in so many rounds, one after the other, so that the keys of one only lie on disk at a time.
 ROUNDS = 2
 #: Stands for a null id.
@@ -71,32 +74,32 @@ def _code(line: Column) -> Column:
     return F.when(F.octet_length(line) == F.length(line), line.cast("binary")).otherwise(F.encode(F.regexp_replace(line, "[^\u0000-\u00ff]", "?"), "ISO-8859-1"))
 
 
-def _ring(n: Column) -> Column:
-    """A code of a count whose Hamming distances are distances on a ring of 2 * COUNT_BITS places."""
-    full = (1 << COUNT_BITS) - 1
-    codes = [(1 << m) - 1 for m in range(COUNT_BITS)] + [full ^ ((1 << m) - 1) for m in range(COUNT_BITS)]
-    return F.get(F.lit(codes), n % (2 * COUNT_BITS)).cast("long")
+def _ring(n: Column, bits: int) -> Column:
+    """A code of a count whose Hamming distances are distances on a ring of 2 * bits places: never more than the counts differ."""
+    full = (1 << bits) - 1
+    codes = [(1 << m) - 1 for m in range(bits)] + [full ^ ((1 << m) - 1) for m in range(bits)]
+    return F.get(F.lit(codes), n % (2 * bits)).cast("long")
 
 
 def _count(line: Column, letter: str) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
 
 
-def _codes(first: Column, counts: list[Column]) -> Column:
+def _codes(first: Column, counts: list[Column], bits: int) -> Column:
     """``first`` and the codes of the counts, side by side in one long."""
-    return reduce(lambda out, n: F.shiftleft(out, COUNT_BITS).bitwiseOR(_ring(n)), counts, first.cast("long"))
+    return reduce(lambda out, n: F.shiftleft(out, bits).bitwiseOR(_ring(n, bits)), counts, first.cast("long"))
 
 
 def _profile(line: Column, k: Column) -> Column:
     """k and the codes of the length and of the counted letters; an edit changes at most two of these counts by one."""
-    return _codes(k, [F.length(line), *(_count(line, letter) for letter in COUNTED)])
+    return _codes(k, [F.length(line), *(_count(line, letter) for letter in PROFILED)], PROFILE_BITS)
 
 
 def _bags(line: Column) -> list[Column]:
     """The codes of the length and of all counted letters, in several longs."""
     groups = [[F.length(line), *(_count(line, letter) for letter in COUNTED)]]
     groups += [[_count(line, letter) for letter in group] for group in MORE_COUNTED]
-    return [_codes(F.lit(0), counts).alias(f"bag{n}") for n, counts in enumerate(groups)]
+    return [_codes(F.lit(0), counts, COUNT_BITS).alias(f"bag{n}") for n, counts in enumerate(groups)]
 
 
 def _bag_gap() -> Column:
@@ -140,9 +143,10 @@ def candidates(lines: DataFrame, max_edits: int | None = None, turn: int = 0, ro
     """
     keys = _keys(lines, max_edits, turn, rounds)
     a, b = (keys.select("key", F.col("p").alias(f"p{x}"), F.col("profile").alias(f"counts_{x}")) for x in "ab")
-    counts = (1 << COUNT_BITS * (1 + len(COUNTED))) - 1
+    bits = PROFILE_BITS * (1 + len(PROFILED))
+    counts = (1 << bits) - 1
     gap = F.bit_count(F.col("counts_a").bitwiseXOR(F.col("counts_b")).bitwiseAND(counts))
-    k = F.shiftright(F.least("counts_a", "counts_b"), COUNT_BITS * (1 + len(COUNTED)))
+    k = F.shiftright(F.least("counts_a", "counts_b"), bits)
     met = (a["key"] == b["key"]) & (gap <= 2 * k) & (F.col("pa").bitwiseOR(F.col("pb")).bitwiseAND(1) == 1) & (F.col("pa").bitwiseAND(-2) < F.col("pb").bitwiseAND(-2))
     return a.join(b, met).select(F.col("pa").bitwiseAND(-2).alias("a"), F.col("pb").bitwiseAND(-2).alias("b")).distinct()
 
@@ -157,6 +161,25 @@ def edit_candidates(lines: DataFrame, max_edits: int | None = None) -> DataFrame
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
+def _same_start() -> Column:
+    """How many characters rest_a and rest_b have in common at the start, but for less than the least piece; they have to differ."""
+    same = lambda at, n: F.substring("rest_a", at + 1, n) == F.substring("rest_b", at + 1, n)
+    return F.aggregate(F.lit(PIECES), F.lit(0), lambda at, n: F.when(same(at, n), at + n).otherwise(at))
+
+
+def within(pairs: DataFrame) -> DataFrame:
+    """The pairs (line_a, line_b, allowed) of different lines that are at most ``allowed`` edits apart.
+
+    Edits are counted between what is left of the lines when equal ends are cut off, which has as many.
+    """
+    pairs = pairs.withColumns({f"rest_{x}": F.col(f"line_{x}") for x in "ab"})
+    for _ in range(2):  # the start, then the end
+        pairs = pairs.withColumn("at", F.explode(F.array(_same_start())))  # found once for all uses
+        rests = F.struct(*(F.reverse(F.substring(f"rest_{x}", F.col("at") + 1, F.length(f"rest_{x}"))).alias(f"rest_{x}") for x in "ab"))
+        pairs = pairs.withColumn("rests", F.explode(F.array(rests))).drop("at", "rest_a", "rest_b").select("*", "rests.*").drop("rests")
+    return pairs.where("levenshtein(rest_a, rest_b, allowed) >= 0").drop("rest_a", "rest_b")
+
+
 def near_lines(lines: DataFrame, max_edits: int | None = None) -> DataFrame:
     """(line_a, line_b), once: the different lines that are within the allowed edits; ``lines`` has (line), repeats allowed."""
     hashed = lines.withColumn("h", F.xxhash64("line"))
@@ -171,7 +194,7 @@ def near_lines(lines: DataFrame, max_edits: int | None = None) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("even").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in texts.columns if c != "even")), x)
     k, _ = _band(F.least("length_a", "length_b"), max_edits)
     close = pairs.withColumn("allowed", k).where((F.abs(F.col("length_a") - F.col("length_b")) <= F.col("allowed")) & (_bag_gap() <= 2 * F.col("allowed")))
-    return close.where("levenshtein(line_a, line_b, allowed) >= 0").select("line_a", "line_b")
+    return within(close.select("line_a", "line_b", "allowed")).select("line_a", "line_b")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
