@@ -180,3 +180,35 @@ def test_a_run_onto_known_events_writes_its_candidates_once(spark, sf, monkeypat
     monkeypatch.setattr(matching, "stored", lambda df, stored=matching.stored: written.append(df.columns) or stored(df))
     assert plans.decision_audit(spark, sf).count() > 0
     assert len([columns for columns in written if "candidate_key" in columns]) == 1
+
+
+def test_courses_are_gone_through_once_as_rounds_would_decide(spark, monkeypatch):
+    candidates, members, bound, manual = made_up(3, 500, 12)
+    for c in candidates:
+        if c["candidate_key"] % 31 == 0:
+            c["course_key"] = None
+    members = [{**members[0], "course_key": None, "event_id": "nowhere"}, {**members[0], "event_id": None}, *members]
+    data = frames(spark, candidates, members, bound, manual)
+    with monkeypatch.context() as m:
+        m.setattr(matching, "_courses_apart", lambda *_: False)
+        by_rounds = told(matching.decide(*data))
+    monkeypatch.setattr(matching, "_asking", None)  # not to be asked
+    assert told(matching.decide(*data)) == by_rounds and len(by_rounds) == 500
+
+
+def test_long_chains_in_many_courses_take_one_run(spark, monkeypatch):
+    monkeypatch.setattr(matching, "stored", None)
+    rows = [
+        {"course_key": c, "candidate_key": 100 * c + i, "source_key": None, "title": "quiz 1", "kind": "quiz", "change": "NONE", "times": [], "context": [f"content:{i}", f"content:{i + 1}"], "confidence": 0.7}
+        for c in range(9) for i in range(60)
+    ]
+    data = (rows, [], {}, {})
+    got = told(matching.decide(*frames(spark, *data)))
+    assert got == one_after_another(*data) and sum(x[1] == "MERGED" for x in got.values()) == 9 * 59
+
+
+def test_courses_that_share_an_event_are_not_taken_apart(spark):
+    candidates, members, bound, manual = made_up(4, 80, 10)
+    assert matching._courses_apart(*frames(spark, candidates, members, bound, manual)[:2])
+    members.append({**members[0], "course_key": members[0]["course_key"] + 1})
+    assert not matching._courses_apart(*frames(spark, candidates, members, bound, manual)[:2])

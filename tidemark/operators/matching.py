@@ -15,6 +15,10 @@ decided on the facts before it.  Rounds are as many as the longest chain of cand
 each needs a fact of the one before, and two more.  After the first a round decides only those for
 which a fact that they ask for has come to hold before their place, or no longer does.
 
+Since events lie in one course and candidates look for events of theirs, courses don't depend on each
+other.  Where there are courses enough for all cores, each is gone through once instead, in the order of
+decisions: rows come sorted from the shuffle and only the facts of the course's events are held.
+
 Only the first plain candidate of its course, identity and type can make an event: whatever becomes
 of it, the next ones find an event of that identity and type.
 
@@ -25,10 +29,13 @@ time that agrees with none; null lists are empty; an empty frame gives an empty
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import wording
 from tidemark.operators.lineage import cut, stored
@@ -93,11 +100,8 @@ def prepared(candidates: DataFrame) -> DataFrame:
     )
 
 
-def event_facts(members: DataFrame) -> DataFrame:
-    """event_id, fact, place: what events are known by from the start, through the sources that are theirs and count.
-
-    ``members``: event_id, course_key, title, kind, times, context; a row for each source.
-    """
+def _member_facts(members: DataFrame) -> DataFrame:
+    """course_key, event, facts: what each source that counts says of its event."""
     bare = members.select(
         "course_key", F.col("event_id").alias("event"), F.coalesce(wording.title_identity(F.col("title")), F.lit("")).alias("identity"), F.coalesce("kind", F.lit(GENERIC)).alias("kind"),
         F.coalesce(F.col("times"), F.array().cast(_TIMES)).cast(_TIMES).alias("times"), F.coalesce(F.col("context"), F.array().cast("array<string>")).alias("context"),
@@ -105,8 +109,16 @@ def event_facts(members: DataFrame) -> DataFrame:
     facts = _facts(F.col("course_key"), F.array("identity"), F.array("kind"), F.col("times"), F.col("context"))
     number = F.regexp_extract("identity", "(?:^| )([0-9]+)$", 1)
     facts = F.concat(facts, F.when(number != "", F.array(_concat("no:", number))).otherwise(F.array().cast("array<string>")))
+    return bare.select("course_key", "event", facts.alias("facts"))
+
+
+def event_facts(members: DataFrame) -> DataFrame:
+    """event_id, fact, place: what events are known by from the start, through the sources that are theirs and count.
+
+    ``members``: event_id, course_key, title, kind, times, context; a row for each source.
+    """
     place = F.struct(F.lit(0).alias("pass"), F.lit(0).cast("long").alias("key"))
-    return bare.select("event", F.explode(facts).alias("fact")).distinct().select("event", "fact", place.alias("place"))
+    return _member_facts(members).select("event", F.explode("facts").alias("fact")).distinct().select("event", "fact", place.alias("place"))
 
 
 def matches(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -194,6 +206,114 @@ def _latest(rounds: list[DataFrame]) -> DataFrame:
     return joined.where(F.col("round") == F.coalesce("last_round", F.lit(0))).select(rounds[0].columns)
 
 
+def _courses_apart(candidates: DataFrame, members: DataFrame) -> bool:
+    """Whether no event is known in two courses (or in one and in none), and there are courses enough for all cores."""
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    if candidates.select("course_key").distinct().limit(cores).count() < cores:
+        return False
+    course = F.coalesce(F.col("course_key").cast("string"), F.lit(""))
+    return members.where("event_id is not null").groupBy("event_id").agg(F.min(course).alias("least"), F.max(course).alias("most")).where("least != most").isEmpty()
+
+
+def _compared(row: dict, facts: set) -> tuple | None:
+    """What ``matches`` finds of a candidate and an event with these facts: merge, confidence, accepted, rejected; None if it doesn't resemble it."""
+    hits = [(role, field) for fact, role, field in zip(row["asked"], row["roles"], row["asked_fields"]) if fact in facts]
+    roles = {role for role, _ in hits}
+    exact, change = "exact" in roles, row["change"] != "NONE"
+    if not exact and "generic" not in roles and row["kind"] != GENERIC:
+        return None
+    agrees = {field for role, field in hits if role == "agrees"}
+    contradicts = any(role == "has" and field not in agrees for role, field in hits)
+    related = "source" in roles or "context" in roles
+    merge = bool(agrees or related or change) and (exact or related) and (not contradicts or related or change)
+    accepted = ["normalized_title", "compatible_type" if exact else "generic_type_requires_relation"]
+    accepted += [f"assessment_number:{row['number']}"] * bool(row["number"]) + ["same_field_time"] * bool(agrees)
+    accepted += ["shared_typed_source"] * ("source" in roles) + ["shared_source_context"] * related + [f"explicit_change:{row['change'].lower()}"] * change
+    return merge, (RELATED if related else MATCHED) if merge else RESEMBLES, accepted, ["same_field_time_contradiction"] * contradicts
+
+
+class _Course:
+    """The facts of a course's events so far; ``take`` says what becomes of its next candidate, None for one that will come again."""
+
+    def __init__(self):
+        self.named, self.facts, self.numbers = defaultdict(set), defaultdict(set), defaultdict(set)
+        self.waiting, self.made = set(), False
+
+    def learn(self, event: str | None, facts: list) -> None:
+        for fact in facts:
+            if fact.startswith("id:"):
+                self.named[fact].add(event)
+            elif event is not None:  # an event without a name is known by its titles only
+                (self.numbers if fact.startswith("no:") else self.facts)[event].add(fact)
+
+    def take(self, row: dict) -> tuple | None:
+        """result, event, considered, accepted, rejected, confidence"""
+        plain, again, number = row["change"] == "NONE", row["pass"] == AGAIN, f"no:{row['number']}"
+        if again and row["key"] not in self.waiting:
+            return None
+        near = [e for e in self.named.get(row["block"], ()) if not row["number"] or not self.numbers.get(e, set()) - {number}]
+        seen = [(e, m) for e in sorted(near, key=lambda e: (e is not None, e or "")) if (m := _compared(row, self.facts.get(e, set())))]
+        merges = [(e, m) for e, m in seen if m[0]]
+        if len(merges) == 1:
+            event, (_, confidence, accepted, rejected) = merges[0]
+            self.learn(event, row["facts"])
+            return "MERGED", event, [e for e, _ in seen], accepted, rejected, confidence
+        if plain and not seen and (row["identity"] == "" or row["block"] or not self.made):
+            self.made = True
+            if row["block"]:
+                self.learn(row["event"], row["facts"])
+            return "CREATED", row["event"], [], ["no_plausible_existing_event"], [], row["confidence"]
+        if plain and not again and row["block"]:
+            self.waiting.add(row["key"])
+            return None
+        return "UNRESOLVED" if plain else "RELATED_CHANGE", None, [e for e, _ in seen], [], [x for _, m in seen for x in m[3]], max((m[1] for _, m in seen), default=0.0)
+
+
+_DECIDED = "result string, event_id string, considered array<string>, accepted array<string>, rejected array<string>, confidence double"
+
+
+def _in_order(open_: DataFrame, members: DataFrame) -> DataFrame:
+    """What becomes of the open candidates, course by course: course_key, candidate_key and the columns of ``_DECIDED``.
+
+    What depends on nothing has a unit of its own: a title without identity, and in no course each identity and type.
+    """
+    block = _concat("id:", F.col("course_key"), ":", F.col("identity"))
+    alone = F.when(F.col("identity") == "", _concat("key:", F.col("candidate_key"))).otherwise(_concat("none:", F.col("kind"), ":", F.col("identity")))
+    unit = F.when((F.col("identity") != "") & F.col("course_key").isNotNull(), _concat("course:", F.col("course_key"))).otherwise(alone)
+    rows = open_.withColumn("unit", unit).withColumn("block", F.when(F.col("identity") != "", block))
+    first = F.when(F.col("change") == "NONE", PLAIN).otherwise(CHANGE)
+    passes = F.when((F.col("change") == "NONE") & F.col("block").isNotNull(), F.array(F.lit(PLAIN), F.lit(AGAIN))).otherwise(F.array(first))
+    rows = rows.select(
+        "unit", F.explode(passes).alias("pass"), F.col("candidate_key").alias("key"), F.col("new_event").alias("event"), "facts", "course_key", "identity", "block", "number", "kind", "change",
+        F.col("wanted.fact").alias("asked"), F.col("wanted.role").alias("roles"), F.col("wanted.field").alias("asked_fields"), "confidence",
+    )
+    known = _member_facts(members).select(_concat("course:", F.col("course_key")).alias("unit"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("key"), "event", "facts").where("unit is not null")
+    schema = StructType([open_.schema["course_key"], *StructType.fromDDL(f"candidate_key long, {_DECIDED}")])
+    texts = pa.list_(pa.string())
+    kinds = [pa.int64(), pa.string(), pa.string(), texts, texts, texts, pa.float64()]
+
+    def run(batches):
+        unit = course = None
+        for batch in batches:
+            columns = {name: batch[name] for name in batch.schema.names if name != "course_key"}
+            names, values = list(columns), zip(*(c.to_pylist() for c in columns.values()))
+            at, out = [], []
+            for i, value in enumerate(values):
+                row = dict(zip(names, value))
+                if unit != row["unit"]:
+                    unit, course = row["unit"], _Course()
+                if row["pass"] == 0:
+                    course.learn(row["event"], row["facts"])
+                elif found := course.take(row):
+                    at.append(i)
+                    out.append((row["key"], *found))
+            told = [pa.array(x, kind) for x, kind in zip(list(zip(*out)) or [[]] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([batch["course_key"].take(pa.array(at, pa.int64())), *told], names=schema.names)
+
+    ordered = known.unionByName(rows, allowMissingColumns=True).repartition("unit").sortWithinPartitions("unit", "pass", "key")
+    return ordered.mapInArrow(run, schema)
+
+
 def _new_event(course: Column, candidate: Column, source: Column) -> Column:
     return F.sha2(F.concat_ws(":", course.cast("string"), candidate.cast("string"), F.coalesce(source.cast("string"), F.lit(""))), 256)
 
@@ -216,6 +336,8 @@ def decide(candidates: DataFrame, members: DataFrame, bound: DataFrame, manual:
     place = lambda pass_: F.struct(pass_.cast("int").alias("pass"), F.col("candidate_key").alias("key"))
     first = F.when(F.col("change") == "NONE", PLAIN).otherwise(CHANGE)
     open_ = kept.where("fixed is null").drop("picked", "held", "fixed").withColumn("new_event", _new_event(F.col("course_key"), F.col("candidate_key"), F.col("source_key")))
+    if not onto_known and _courses_apart(candidates, members):
+        return fixed.unionByName(_in_order(open_, members))
     # All that follows goes by candidate, so the candidates are dealt that way once.
     open_ = cut(open_.repartition("candidate_key"))
     if onto_known:  # then any may make an event
