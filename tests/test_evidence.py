@@ -65,3 +65,26 @@ def test_points_are_looked_for_on_the_levels_of_spans_only(spark):
     looked = [int(n) for n in re.findall(r"transform\(cast\(array\(([0-9, ]+)\)", found._jdf.queryExecution().analyzed().toString()) for n in n.split(",")]
     assert looked == [0, 1] or looked == [1] or looked == [0]
     assert intervals.overlap_join(rows, spark.range(0).select(day("8").alias("since"), day("9").alias("until"))).count() == 0
+
+
+def test_intervals_lie_in_two_blocks_at_most_however_long(spark, monkeypatch):
+    """Before, rows of 40 days took eight places on the average."""
+    placed = []
+    monkeypatch.setattr(intervals, "_placed", lambda *args, real=intervals._placed: placed.append(real(*args)) or placed[-1])
+    day = lambda n: F.expr(f"timestamp_ntz'1995-01-01' + make_dt_interval({n})")
+    rows = spark.range(2000).select("id", day("cast(id as int)").alias("low"), day("cast(id + id % 700 + 4 as int)").alias("high"))
+    windows = spark.range(300).select(F.col("id").alias("window"), day("cast(id * 7 as int)").alias("since"), day("cast(id * 7 + 1 + id % 3 as int)").alias("until"))
+    found = intervals.overlap_join(rows, windows)
+    assert found.count() == sum(i < 7 * w + 1 + w % 3 and i + i % 700 + 4 >= 7 * w for i in range(2000) for w in range(300))
+    assert 2000 <= placed[0].count() <= 4000
+    assert found.select("id", "window").distinct().count() == found.count()
+
+
+def test_pairs_of_every_length_meet_once(spark):
+    rng = np.random.default_rng(9)
+    spans = lambda n: [(i, a := int(rng.integers(200_000)), a + int(rng.choice([1, 3, 20, 24, 49, 200, 3000, 60_000, 900_000]))) for i in range(n)]
+    rows, windows = spans(300), spans(200)
+    frame = spark.createDataFrame([(i, at(a), at(b)) for i, a, b in rows], "event long, low timestamp_ntz, high timestamp_ntz")
+    held = spark.createDataFrame([(i, at(a), at(b)) for i, a, b in windows], "window long, since timestamp_ntz, until timestamp_ntz")
+    got = sorted((r.event, r.window) for r in intervals.overlap_join(frame, held).collect())
+    assert got == sorted((i, w) for i, a, b in rows for w, s, u in windows if a < u and b >= s)
